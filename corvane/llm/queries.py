@@ -19,5 +19,18 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(neardup.signed(neardup.episode_texts(table(spark, d, "turns"))))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import pii
+
+    return pii.found_types(table(spark, d, "turns"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import pii
+
+    turns = table(spark, d, "turns").select("turn_id", "role", "kind", "content").dropDuplicates(["turn_id"])
+    return pii.redacted(turns)
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
