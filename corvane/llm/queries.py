@@ -32,5 +32,11 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(turns)
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import pairs
+
+    return pairs.defects(table(spark, d, "turns"))
+
+
+QUERIES = {"p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
