@@ -119,7 +119,7 @@ ich kann nicht|ich kann ihnen|ich kann dabei nicht|das kann ich nicht|ich darf n
 kann ich leider nicht|bin nicht in der lage|gegen meine richtlinien|ist mir nicht erlaubt|nicht gestattet|ich werde nicht"""
 CLOSING = """i hope you understand|human operator should|is there anything else|anything else you need|what i can offer|general advice|other topics|
 please contact|please consult|sorry for|i apologize|apologies|i'm sorry|thank you for|thanks for|i appreciate|feel free|let me know|
-надеюсь на понимание|чем-то ещё|чем-то еще|обратитесь к|могу предложить|общий совет|общие советы|другие темы|другую тему|прошу прощения|извините|к сожалению|спасибо за|
+надеюсь на понимание|чем-то ещё|чем-то еще|обратитесь к|займётся оператор|займется оператор|к оператору|к специалисту|могу предложить|общий совет|общие советы|другие темы|другую тему|прошу прощения|извините|к сожалению|спасибо за|
 приношу извинения|сожалею|понимаю задачу|tut mir leid|entschuldig|bitte wenden|ich bitte um verständnis|kann ich sonst|gern helfe ich|leider"""
 
 

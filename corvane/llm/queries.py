@@ -38,5 +38,52 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "turns"))
 
 
-QUERIES = {"p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import conversations
+
+    return conversations.dropped(table(spark, d, "session_turns"))
+
+
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import conversations
+
+    return conversations.rebuilt(table(spark, d, "session_turns"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
+_P5 = """
+WITH r AS (
+  SELECT source_session, seq, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant'
+         WHEN 'function' THEN 'tool' ELSE lower(trim(role)) END AS role, lower(trim(kind)) AS kind, content, ts, msg_id
+  FROM session_turns WHERE source_session IS NOT NULL),
+m AS (
+  SELECT source_session, seq, role, kind, content, min(ts) AS ts, min(msg_id) AS msg_id,
+         content IS NULL OR NOT regexp_matches(content, '[^\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200d}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}\\x{00ad}\\x{0085}]') AS blank
+  FROM r GROUP BY source_session, seq, role, kind, content, CASE WHEN seq IS NULL THEN ts END),
+gap AS (
+  SELECT source_session FROM m WHERE seq IS NOT NULL GROUP BY 1 HAVING max(seq) - min(seq) + 1 > count(DISTINCT seq)),
+s AS (
+  SELECT *, row_number() OVER w AS rn,
+         CASE WHEN role = 'user' THEN 'ask' WHEN role = 'assistant' AND kind = 'text' AND NOT blank THEN 'answer' END AS talk,
+         CASE WHEN kind IN ('tool_call', 'tool_result') THEN kind END AS tool
+  FROM m WHERE role <> 'system' WINDOW w AS (PARTITION BY source_session ORDER BY seq NULLS LAST, ts NULLS LAST, msg_id)),
+doubled AS (SELECT source_session FROM s WHERE seq IS NOT NULL GROUP BY source_session, seq HAVING count(*) > 1),
+talk AS (
+  SELECT source_session, talk, lead(talk) OVER (PARTITION BY source_session ORDER BY rn) AS after FROM s WHERE talk IS NOT NULL),
+tool AS (
+  SELECT source_session, tool, lag(tool) OVER (PARTITION BY source_session ORDER BY rn) AS before,
+         lead(tool) OVER (PARTITION BY source_session ORDER BY rn) AS after FROM s WHERE tool IS NOT NULL),
+bad AS (
+  SELECT source_session FROM gap UNION SELECT source_session FROM doubled
+  UNION SELECT source_session FROM talk WHERE talk = 'ask' AND after IS DISTINCT FROM 'answer'
+  UNION SELECT source_session FROM tool WHERE tool = 'tool_call' AND after IS DISTINCT FROM 'tool_result'
+  UNION SELECT source_session FROM tool WHERE tool = 'tool_result' AND before IS DISTINCT FROM 'tool_call'
+  UNION SELECT source_session FROM s WHERE rn = 1 AND role <> 'user'
+  UNION SELECT source_session FROM m GROUP BY 1
+    HAVING count(*) FILTER (role = 'user' AND kind = 'text' AND NOT blank) = 0 OR count(*) FILTER (role = 'assistant' AND kind = 'text' AND NOT blank) = 0)"""
+
+SQL: dict[str, str] = {
+    "p5_found": _P5 + " SELECT source_session FROM bad",
+    "p5_conversations": _P5 + """ SELECT source_session, rn - 1 AS turn_no, role, kind, content
+FROM s WHERE source_session NOT IN (SELECT source_session FROM bad)""",
+}
