@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.plans.materialize import materialize
 
@@ -30,7 +31,7 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], out: str = "idx",
         .sortWithinPartitions(group, *order)
         .withColumn("__pid", F.spark_partition_id())
     )
-    schema = placed.schema.add("__at", "long")
+    schema = T.StructType([*placed.schema.fields, T.StructField("__at", T.LongType())])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, seen = None, 0
