@@ -17,7 +17,13 @@ def corpus_volume(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"corpus_volume": corpus_volume}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.operators import spikes
+
+    return spikes.found(table(spark, d, "metrics"))
+
+
+QUERIES = {"p4_found": p4_found, "corpus_volume": corpus_volume}
 SQL = {
     "corpus_volume": """
 SELECT lang, lower(trim(source)) AS src, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars,
