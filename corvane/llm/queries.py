@@ -56,7 +56,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import residue
+
+    return residue.excluded(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
 _P5 = """
 WITH r AS (
   SELECT source_session, seq, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant'
