@@ -62,7 +62,27 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.excluded(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
+def _mix(spark: SparkSession, d: str):
+    from corvane.llm import mixing
+    from corvane.plans.materialize import materialize
+
+    counts = materialize(mixing.token_counts(table(spark, d, "documents")), "tokens")
+    rated = mixing.rates(counts, table(spark, d, "mix_plan"))
+    return counts, rated, mixing.copies(counts, rated)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[2]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import mixing
+
+    _, rated, selection = _mix(spark, d)
+    return mixing.report(selection, rated)
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
 _P5 = """
 WITH r AS (
   SELECT source_session, seq, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant'
