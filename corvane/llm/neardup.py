@@ -79,8 +79,8 @@ def node_texts(sig: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.groupBy("node").agg(F.any_value("text").alias("text"))
 
 
-def with_similarity(edges: DataFrame, texts: DataFrame, a: str, b: str, shingle: int = SHINGLE) -> DataFrame:
-    """``edges`` with ``sim``, the exact Jaccard similarity of the shingle sets of nodes ``a``, ``b``."""
+def similarity(x: str, y: str, shingle: int = SHINGLE):
+    """Column: exact Jaccard similarity of the shingle sets of two text columns."""
 
     @F.pandas_udf("double")
     def sim(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -93,9 +93,14 @@ def with_similarity(edges: DataFrame, texts: DataFrame, a: str, b: str, shingle:
 
         return pd.Series([jaccard(of(p), of(q)) for p, q in zip(x, y)], dtype="float64")
 
+    return sim(x, y)
+
+
+def with_similarity(edges: DataFrame, texts: DataFrame, a: str, b: str, shingle: int = SHINGLE) -> DataFrame:
+    """``edges`` with ``sim``, the exact Jaccard similarity of the shingle sets of nodes ``a``, ``b``."""
     left = texts.select(F.col("node").alias(a), F.col("text").alias("__ta"))
     right = texts.select(F.col("node").alias(b), F.col("text").alias("__tb"))
-    return edges.join(left, a).join(right, b).withColumn("sim", sim("__ta", "__tb")).drop("__ta", "__tb")
+    return edges.join(left, a).join(right, b).withColumn("sim", similarity("__ta", "__tb", shingle)).drop("__ta", "__tb")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -82,7 +82,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(selection, rated)
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.llm import history
+
+    return history.rejected(table(spark, d, "episodes"), table(spark, d, "turns"))
+
+
+QUERIES = {"p6_found": p6_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p7_found": p7_found, "p5_found": p5_found, "p5_conversations": p5_conversations, "p3_found": p3_found, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups}
 _P5 = """
 WITH r AS (
   SELECT source_session, seq, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant'
