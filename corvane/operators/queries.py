@@ -3,18 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.functions.tables import table
-
-
-def corpus_volume(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.groupBy("lang", F.lower(F.trim("source")).alias("src")).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum("n_chars").alias("chars"),
-        F.sum(F.greatest(F.lit(1), F.expr("n_chars div 4"))).alias("approx_tokens"),
-    )
+from corvane.operators import corpus_queries, series_queries
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,10 +14,5 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.found(table(spark, d, "metrics"))
 
 
-QUERIES = {"p4_found": p4_found, "corpus_volume": corpus_volume}
-SQL = {
-    "corpus_volume": """
-SELECT lang, lower(trim(source)) AS src, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars,
-       CAST(sum(greatest(1, n_chars // 4)) AS BIGINT) AS approx_tokens
-FROM documents GROUP BY 1, 2""",
-}
+QUERIES = {"p4_found": p4_found, **corpus_queries.QUERIES, **series_queries.QUERIES}
+SQL = {**corpus_queries.SQL, **series_queries.SQL}
