@@ -39,11 +39,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once and return a frame that reads the written table."""
+def materialize(df: DataFrame, name: str, codec: str = "zstd", partition: str | None = None) -> DataFrame:
+    """Write ``df`` once, in folders by column ``partition`` if named, and return a frame that reads the table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(partition) if partition else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
