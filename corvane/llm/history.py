@@ -1,16 +1,17 @@
 """Deduplicating new batches against all accepted history.
 
-The index holds, for accepted records only, the minwise band keys with their nodes (partitioned by a hash
-of the key) and the nodes' texts (partitioned by a hash of the node). A batch probes only the partitions and
-buckets its own keys fall into; candidates are verified on the full shingle sets; accepted records are
-appended. Nothing of the history is signed or compared again.
+Records are signed once and written in folders by batch. The index holds the minwise band keys of accepted
+records with their nodes, as a table bucketed by a hash of (band, key), so a probe shuffles the new batch
+only: each task streams one bucket of the index past a hash table of the batch's keys. Texts are read for
+the candidates alone, which are verified on the full shingle sets; keys of accepted records are appended.
+Nothing of the history is signed, shuffled or compared again.
 
 Order: batches by number, records within a batch by id. A record is rejected if it is similar (see
 ``neardup``) to one accepted before it; rejected records reject nothing. All of the first batch is accepted.
 
-Hot buckets: identical word sequences are one node of the index. A batch is probed in two steps, first
-against one hub per bucket, then the records still unresolved against the rest, so records of one large
-group of copies cost one comparison each.
+Hot buckets: identical word sequences are one node. Of each append, the least node of a bucket leads it. A
+batch is probed against the leads first; only records no lead settles meet the other members, so records of
+a large group of near copies cost a few comparisons each, and none is left out.
 
 Defined cases: as in ``neardup``; a record without a batch number is no member of any batch and is neither
 accepted nor rejected; a record without turns has no shingles and is accepted.
@@ -18,57 +19,59 @@ accepted nor rejected; a record without turns has no shingles and is accepted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import neardup
 from corvane.plans.materialize import is_empty, materialize, new_path
 
 PARTS = 16
+#: Most candidate nodes that are broadcast to fetch their texts (16 MB); more are joined by shuffle.
+FETCH = 1_000_000
 
 
 class HistoryIndex:
-    """Band keys and texts of accepted records under ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = PARTS, threshold: float = neardup.THRESHOLD, shingle: int = neardup.SHINGLE) -> None:
-        self.spark, self.path, self.parts = spark, path or new_path(spark, "history"), parts
-        self.threshold, self.shingle = threshold, shingle
-        self.filled = False
+    """Band keys of accepted records under ``path``; ``records`` has (node, text) of all signed records."""
 
-    def _keys(self) -> DataFrame:
-        return self.spark.read.schema("band int, key int, node long, part int").parquet(f"{self.path}/keys")
-
-    def _texts(self) -> DataFrame:
-        return self.spark.read.schema("node long, text string, part int").parquet(f"{self.path}/texts")
+    def __init__(self, spark: SparkSession, records: DataFrame, path: str | None = None, threshold: float = neardup.THRESHOLD, shingle: int = neardup.SHINGLE) -> None:
+        self.spark, self.records, self.threshold, self.shingle = spark, records, threshold, shingle
+        self.path = path or new_path(spark, "history")
+        self.name = f"history_{uuid.uuid4().hex}"
+        self.parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def append(self, accepted: DataFrame) -> None:
-        """Add (node, text, keys) of accepted records; nodes already held may come again."""
-        nodes = accepted.where("size(keys) > 0").groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("text").alias("text"))
-        rows = neardup.buckets(nodes).withColumn("part", F.pmod("key", F.lit(self.parts)))
-        rows.repartition(self.parts, "part").sortWithinPartitions("part", "band", "key").write.partitionBy("part").option("compression", "zstd").mode("append").parquet(f"{self.path}/keys")
-        texts = nodes.select("node", "text", F.pmod("node", F.lit(self.parts)).cast("int").alias("part"))
-        texts.repartition(self.parts, "part").write.partitionBy("part").option("compression", "zstd").mode("append").parquet(f"{self.path}/texts")
-        self.filled = True
-
-    def _similar(self, pairs: DataFrame, batch_texts: DataFrame) -> DataFrame:
-        """Pairs (new, old) of nodes that are similar; equal nodes are."""
-        wanted = pairs.select(F.col("old").alias("node")).distinct().withColumn("part", F.pmod("node", F.lit(self.parts)).cast("int"))
-        old = self._texts().join(wanted, ["part", "node"], "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
-        both = pairs.join(batch_texts.select(F.col("node").alias("new"), F.col("text").alias("tn")), "new")
+        """Add (node, keys) of accepted records; nodes already held may come again."""
+        rows = neardup.buckets(neardup.distinct_nodes(accepted)).repartition(self.parts, "band", "key")
+        lead = F.row_number().over(Window.partitionBy("band", "key").orderBy("node")) == 1
+        out = rows.withColumn("lead", lead).write.partitionBy("lead").bucketBy(self.parts, "band", "key")
+        out.option("path", self.path).option("compression", "zstd").mode("append").format("parquet").saveAsTable(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def _hits(self, rows: DataFrame, lead: bool) -> DataFrame:
+        """Distinct (new, old) nodes that share a bucket."""
+        held = self.spark.table(self.name).where(F.col("lead") == lead).select("band", "key", F.col("node").alias("old"))
+        return held.join(rows.hint("shuffle_hash"), ["band", "key"]).select("new", "old").distinct()
+
+    def _similar(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """(new): nodes of pairs (new, old) that are similar; equal nodes are."""
+        pairs = materialize(pairs, "candidates")
+        wanted = pairs.select(F.col("old").alias("node")).distinct()
+        few = wanted.count() <= FETCH
+        old = self.records.select("node", "text").join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+        both = pairs.join(texts.select(F.col("node").alias("new"), F.col("text").alias("tn")), "new")
         both = both.join(old.select(F.col("node").alias("old"), F.col("text").alias("to")), "old")
-        return both.where((F.col("new") == F.col("old")) | (neardup.similarity("tn", "to", self.shingle) >= self.threshold)).select("new")
+        return both.where((F.col("new") == F.col("old")) | (neardup.similarity("tn", "to", self.shingle) >= self.threshold)).select("new").distinct()
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(node): nodes of ``batch`` (node, text, keys) similar to an accepted record."""
-        rows = neardup.buckets(batch.select("node", "keys").dropDuplicates(["node"])).withColumnRenamed("node", "new").withColumn("part", F.pmod("key", F.lit(self.parts)))
-        hits = self._keys().join(rows, ["part", "band", "key"])
-        texts = batch.select("node", "text").groupBy("node").agg(F.any_value("text").alias("text"))
-        hubs = hits.groupBy("new", "band", "key").agg(F.min("node").alias("old")).select("new", "old").distinct()
-        first = materialize(self._similar(hubs, texts).distinct(), "probed")
-        rest = hits.join(first, "new", "left_anti").select("new", F.col("node").alias("old")).distinct()
-        # pairs with a hub are settled
-        open_pairs = rest.join(hubs, ["new", "old"], "left_anti")
-        second = self._similar(open_pairs, texts)
+        rows = neardup.buckets(neardup.distinct_nodes(batch)).withColumnRenamed("node", "new")
+        first = materialize(self._similar(self._hits(rows, True), batch.select("node", "text").dropDuplicates(["node"])), "settled")
+        rest = self._hits(rows.join(first, "new", "left_anti"), False)
+        second = self._similar(rest, batch.select("node", "text").dropDuplicates(["node"]))
         return first.union(second).distinct().withColumnRenamed("new", "node")
 
 
@@ -93,29 +96,47 @@ def _greedy(edges: DataFrame) -> DataFrame:
 
 
 def within(batch: DataFrame, threshold: float = neardup.THRESHOLD, shingle: int = neardup.SHINGLE) -> DataFrame:
-    """(id) rejected for a similar record accepted before it in the same batch of (id, node, text, keys)."""
-    pairs = neardup.similar_pairs(batch, threshold, shingle)
-    return _greedy(materialize(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("before")), "in-batch"))
+    """(id_a, id_b) of similar records in the same batch of (id, node, text, keys[, batch_no])."""
+    if "batch_no" in batch.columns:
+        # nodes and keys of different batches never meet
+        own = F.transform("keys", lambda k: F.hash(k, F.col("batch_no")))
+        batch = batch.withColumns({"node": F.when(F.col("node") != 0, F.xxhash64("node", "batch_no")).otherwise(0), "keys": own})
+    return materialize(neardup.similar_pairs(batch, threshold, shingle), "in-batch")
+
+
+def settle(index: HistoryIndex, batch: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id) rejected from one batch, given the similar ``pairs`` inside it."""
+    known = materialize(index.probe(batch), "known")
+    old = batch.join(known, "node", "left_semi").select("id")
+    mine = pairs.join(batch.select(F.col("id").alias("id_b")), "id_b", "left_semi")
+    edges = mine.join(old.withColumnRenamed("id", "id_b"), "id_b", "left_anti").join(old.withColumnRenamed("id", "id_a"), "id_a", "left_anti")
+    return materialize(old.union(_greedy(materialize(edges.select(F.col("id_b").alias("id"), F.col("id_a").alias("before")), "open"))), "out")
+
+
+def admit(index: HistoryIndex, batch: DataFrame) -> DataFrame:
+    """Take one new batch (id, node, text, keys): (id) rejected; the keys of the others join the index."""
+    out = settle(index, batch, within(batch, index.threshold, index.shingle))
+    index.append(batch.join(out, "id", "left_anti"))
+    return out
 
 
-def rejected(episodes: DataFrame, turns: DataFrame, index: HistoryIndex | None = None) -> DataFrame:
+def rejected(episodes: DataFrame, turns: DataFrame) -> DataFrame:
     """(episode_id) of the rejected records over all batches of ``episodes``, first batch accepted."""
     spark = episodes.sparkSession
-    batch_of = episodes.where("id IS NOT NULL AND batch_no IS NOT NULL").groupBy("id").agg(F.min("batch_no").alias("batch_no"))
-    sig = neardup.signed(neardup.episode_texts(turns)).join(batch_of, "id")
-    sig = materialize(sig.repartition("batch_no", F.pmod(F.xxhash64("id"), F.lit(PARTS))), "batches")
-    index = index or HistoryIndex(spark)
-    numbers = sorted(r[0] for r in sig.select("batch_no").distinct().collect())
+    batch_of = episodes.where("id IS NOT NULL AND batch_no IS NOT NULL").groupBy("id").agg(F.min("batch_no").cast("int").alias("batch_no"))
+    numbers = sorted(r[0] for r in batch_of.select("batch_no").distinct().collect())
+    if len(numbers) < 2:
+        return spark.createDataFrame([], "episode_id string")
+    sig = neardup.signed(neardup.episode_texts(turns).join(batch_of, "id"), batch="batch_no")
+    index = HistoryIndex(spark, sig)
+    index.append(sig.where(F.col("batch_no") == numbers[0]))
+    pairs = within(sig.where(F.col("batch_no") > numbers[0]), index.threshold, index.shingle)
     found = None
-    for k, number in enumerate(numbers):
-        batch = sig.where(F.col("batch_no") == number)
-        if k:
-            known = index.probe(batch)
-            fresh = materialize(batch.join(known, "node", "left_anti"), "fresh")
-            out = batch.join(fresh.select("id"), "id", "left_anti").select("id").union(within(fresh, index.threshold, index.shingle))
-            out = materialize(out.distinct(), "out")
-            found = out if found is None else found.union(out)
-            batch = fresh.join(out, "id", "left_anti")
-        if k + 1 < len(numbers):
-            index.append(batch)
-    return (found if found is not None else spark.createDataFrame([], "id string")).withColumnRenamed("id", "episode_id")
+    for number in numbers[1:]:
+        batch = sig.where(F.col("batch_no") == number).drop("batch_no")
+        out = settle(index, batch, pairs)
+        found = out if found is None else found.union(out)
+        if number != numbers[-1]:
+            index.append(batch.join(out, "id", "left_anti"))
+    index.drop()
+    return found.withColumnRenamed("id", "episode_id")

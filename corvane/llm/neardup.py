@@ -42,8 +42,11 @@ def episode_texts(turns: DataFrame) -> DataFrame:
     )
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, text) -> (id, node, text, keys ARRAY<INT>); written once, since several jobs read it."""
+def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, batch: str | None = None) -> DataFrame:
+    """(id, text) -> (id, node, text, keys ARRAY<INT>); written once, since several jobs read it.
+
+    ``batch`` names an INT column to keep, by which the written table is partitioned.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(bands, rows)
@@ -53,9 +56,11 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
                 h = word_hashes(words(t))
                 nodes[i] = np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)) if len(h) else 0
                 sets.append(shingles(h, shingle))
-            yield pd.DataFrame({"id": b["id"], "node": nodes, "text": b["text"], "keys": signer.keys(sets)})
+            out = pd.DataFrame({"id": b["id"], "node": nodes, "text": b["text"], "keys": signer.keys(sets)})
+            yield out.assign(**{batch: b[batch]}) if batch else out
 
-    return materialize(docs.select("id", "text").mapInPandas(run, "id string, node long, text string, keys array<int>"), "signed")
+    schema = "id string, node long, text string, keys array<int>" + (f", {batch} int" if batch else "")
+    return materialize(docs.select("id", "text", *([batch] if batch else [])).mapInPandas(run, schema), "signed", partition=batch)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
