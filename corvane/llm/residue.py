@@ -7,8 +7,8 @@ keep their class, the unlabelled ones get posteriors that are refined from round
 scored and decisions aggregated: a record is out if a passage with an open template field in its prose is
 scored as template, or if every worded passage of a section is residue.
 
-The fit uses a bounded sample: ``SAMPLE`` documents least by hash, and up to ``SAMPLE_TRUSTED`` trusted
-ones. Scoring covers every document whole.
+The fit uses a bounded sample: ``SAMPLE`` documents and ``SAMPLE_TRUSTED`` possible trusted
+ones, drawn by hash. Scoring covers every document whole.
 
 Defined cases: null and blank texts are not residue (there is nothing to exclude); equal texts get equal
 decisions; repeated ``doc_id`` rows count once; without trusted records nothing is residue; other columns
@@ -27,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_TRUSTED = 6000, 3000
+SAMPLE, SAMPLE_TRUSTED = 4000, 6000
 #: Unlabelled passages join the residue only when nearly certain, and with this weight, so that the class
 #: cannot drift away from the trusted records.
 CERTAIN, SHARE = 0.999, 0.3
 #: Greatest weight of a token that a class never showed.
 UNSEEN = -1.0
+#: Least weight of the words without one of which a passage cannot be residue.
+TELLING = 2.0
 #: Prior log odds that a passage of prose with an open field is an unfilled template.
 FIELD_ODDS = math.log(99.0)
 ROUNDS, ALPHA, PRIOR = 3, 0.05, {"e": 0.03, "t": 0.02, "n": 0.95}
@@ -188,6 +190,8 @@ class Model(NamedTuple):
     telling: frozenset[str]
 
     def classify(self, p: str, field: bool) -> str:
+        if not field and self.telling.isdisjoint(_WORD.findall(p.lower())):
+            return "n"
         e, t = self.prior[0], FIELD_ODDS if field else self.prior[1]
         for x in tokens(p, field):
             w = self.weights.get(x)
@@ -230,7 +234,7 @@ def fit(known: list[tuple[str, str, bool]], unlabelled: list[tuple[str, bool]],
             for x in vocab
         }
         bias = (math.log(prior["e"] / prior["n"]), math.log(prior["t"] / prior["n"]))
-        telling = frozenset(x for x, w in weights.items() if w[0] > 0.7 and " " not in x and x[0] != "<")
+        telling = frozenset(x for x, w in weights.items() if w[0] > TELLING and " " not in x and x[0] != "<")
         model = Model({x: w for x, w in weights.items() if abs(w[0]) > 0.05 or abs(w[1]) > 0.05}, bias, telling)
         new = []
         for g, _, f in grams_u:
@@ -253,7 +257,7 @@ def residue_kind(text: str | None, model: Model | None) -> str | None:
     if not text or not text.strip() or model is None:
         return None
     low = text.lower()
-    telling = not model.telling.isdisjoint(_WORD.findall(low))
+    telling = not model.telling.isdisjoint(_WORD.findall(low if low.isascii() else _HIDDEN.sub("", low)))
     fielded = (any(m in text for m in _MARKS) or _OPENING.search(text) is not None) and FIELD.search(text) is not None
     if not telling and not fielded:
         return None
@@ -286,21 +290,26 @@ def _whole(ps: list[tuple[str, int, int]]) -> bool:
 # --- the operator -------------------------------------------------------------------------------
 
 
-def train(documents: DataFrame, sample: int = SAMPLE, sample_trusted: int = SAMPLE_TRUSTED) -> Model | None:
-    """Model from a bounded sample of the documents; both bounds are parameters."""
+def _sample(rows: DataFrame, size: int) -> list[str]:
+    """About ``size`` texts of ``rows``, those whose hashed key falls into one residue class."""
+    every = max(1, math.ceil(rows.count() / size))
+    return sorted(r["text"] for r in rows.where(F.pmod("h", F.lit(every)) == 0).select("text").collect())
 
-    @F.pandas_udf("boolean")
-    def sure(s: pd.Series) -> pd.Series:
-        return s.map(trusted)
 
-    texts = documents.where("text IS NOT NULL AND trim(text) <> ''").select("text")
-    keyed = texts.select("text", F.xxhash64("text").alias("h"))
-    short = keyed.where((F.length("text") <= 600) | F.lower("text").rlike("lorem|ipsum|рыба")).where(sure("text"))
-    known = [r["text"] for r in short.orderBy("h").limit(sample_trusted).collect()]
-    rest = [r["text"] for r in keyed.orderBy("h").limit(sample).collect()]
+def train(documents: DataFrame, sample: int = SAMPLE, sample_trusted: int = SAMPLE_TRUSTED) -> Model | None:
+    """Model from a bounded sample of the documents; both bounds are parameters.
+
+    One sample is drawn from all documents, one from those whose length or wording lets them be trusted
+    records. Both are residue classes of a hash, so their expected size does not grow with the input.
+    """
+    keyed = documents.where("text IS NOT NULL AND trim(text) <> ''").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    hopeful = keyed.where((F.length("text") <= 600) | F.lower("text").rlike("lorem|ipsum|рыба"))
+    known = sorted({t for t in _sample(hopeful, sample_trusted) if trusted(t)})
+    rest = _sample(keyed, sample)
+    held = set(known)
+    known += sorted({t for t in rest if trusted(t)} - held)
     marked: list[tuple[str, str, bool]] = []
     unlabelled: list[tuple[str, bool]] = []
-    known += [t for t in rest if trusted(t) and t not in set(known)]
     sure_texts = set(known)
     for t in known:
         marked += [("e", p.text, False) for p in passages(t) if not fields(p.text)]
