@@ -63,7 +63,7 @@ def near_pairs(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int
     Candidates share a band and are linked to the least key of their bucket, and to their neighbour in it.
     """
     words = exact(df, key, text).select(key).join(df, key).select(key, tx.words(F.col(text)).alias("w"))
-    reps = materialize(words.select(key, F.array_distinct(tx.ngrams(F.col("w"), shingle)).alias("g")).where(F.size("g") > 0), "grams")
+    reps = materialize(words.select(key, F.array_distinct(tx.ngrams(F.col("w"), shingle)).alias("g")), "grams").where(F.size("g") > 0)
     signed = materialize(reps.select(key, signature(F.col("g"), bands * rows).alias("s")), "signatures")
     band = F.array(*[F.xxhash64(F.lit(i), *[F.col("s")[i * rows + j] for j in range(rows)]) for i in range(bands)])
     spread = signed.select(key, F.posexplode(band).alias("band", "bucket"))
