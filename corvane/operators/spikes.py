@@ -69,11 +69,21 @@ def side_levels(x: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray
 
 
 def _off_both(x: np.ndarray, limit: float) -> np.ndarray:
+    """Mask of values farther than ``limit`` from both sides' levels, and on the same side of both.
+
+    A steep trend lies between its sides. At the ends of a series, where one side is missing, the value
+    must also be off the other side's level carried on along its median slope.
+    """
     before, after = side_levels(x)
+    half = (SIDE + 1) / 2
     with np.errstate(invalid="ignore"):
-        b, a = np.abs(x - before) > limit, np.abs(x - after) > limit
-    none_b, none_a = np.isnan(before), np.isnan(after)
-    return (b | none_b) & (a | none_a) & ~(none_b & none_a)
+        b, a = x - before, x - after
+        both = (np.abs(b) > limit) & (np.abs(a) > limit) & (np.sign(b) == np.sign(a))
+        d = np.diff(x, prepend=np.nan)
+        slope_before, slope_after = side_levels(d)
+        only_after = np.isnan(before) & (np.abs(a) > limit) & (np.abs(a + half * np.nan_to_num(slope_after)) > limit)
+        only_before = np.isnan(after) & (np.abs(b) > limit) & (np.abs(b - half * np.nan_to_num(slope_before)) > limit)
+    return both | only_after | only_before
 
 
 def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
