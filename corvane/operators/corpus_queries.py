@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.tables import table
 from corvane.operators import dedup, mix
 
-SOURCE = F.lower(F.trim(F.coalesce("source", F.lit("none"))))
 SQL_SOURCE = "lower(trim(coalesce(source, 'none')))"
 SQL_NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 
+def source() -> Column:
+    return F.lower(F.trim(F.coalesce("source", F.lit("none"))))
+
+
 def corpus_volume(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang", SOURCE.alias("src")).agg(
+    return table(spark, d, "documents").groupBy("lang", source().alias("src")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("chars"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.sum(tx.approx_tokens(F.col("text"))).alias("approx_tokens")
     )
 
 
 def volume_shares(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "documents").groupBy(SOURCE.alias("src")).agg(F.sum(tx.approx_tokens(F.col("text"))).alias("tokens"))
+    v = table(spark, d, "documents").groupBy(source().alias("src")).agg(F.sum(tx.approx_tokens(F.col("text"))).alias("tokens"))
     whole = v.agg(F.sum("tokens").alias("whole"))  # one row
     return v.crossJoin(F.broadcast(whole)).select("src", "tokens", F.round(100.0 * F.col("tokens") / F.col("whole"), 6).alias("percent"))
 
@@ -32,12 +35,12 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
         F.when(t.isNull() | (F.trim(t) == ""), "empty").when(F.length(t) < 32, "too_short").when(F.length(t) > 50000, "too_long")
         .when(tx.denied_path(F.col("path")), "denied_path").when(F.col("int_score") < 2, "quality").when(~tx.all_licensed(F.col("license")), "license").otherwise("kept")
     )
-    return table(spark, d, "documents").groupBy(SOURCE.alias("src"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return table(spark, d, "documents").groupBy(source().alias("src"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 def pass_share(spark: SparkSession, d: str) -> DataFrame:
     ok = tx.all_licensed(F.col("license")) & (F.length("text") >= 32)
-    return table(spark, d, "documents").groupBy(SOURCE.alias("src")).agg(F.count_if(ok).alias("kept"), F.count(F.lit(1)).alias("read"), F.round(F.try_divide(F.count_if(ok), F.count(F.lit(1))), 6).alias("share"))
+    return table(spark, d, "documents").groupBy(source().alias("src")).agg(F.count_if(ok).alias("kept"), F.count(F.lit(1)).alias("read"), F.round(F.try_divide(F.count_if(ok), F.count(F.lit(1))), 6).alias("share"))
 
 
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +49,7 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_gate(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(SOURCE == "code")
+    docs = table(spark, d, "documents").where(source() == "code")
     size = F.octet_length("text")
     state = F.when(size < 256, "too_small").when(size > 2000, "truncated").otherwise("whole")
     cut = tx.cut_bytes(F.col("text"), 2000)
@@ -98,7 +101,7 @@ def joint_pool_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.lines(table(spark, d, "documents"), "doc_id", "text", SOURCE)
+    return dedup.lines(table(spark, d, "documents"), "doc_id", "text", source())
 
 
 def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +152,7 @@ def ngram_repeat_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_entropy(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select(SOURCE.alias("src"), F.explode(tx.words(F.col("text"))).alias("w")).groupBy("src", "w").agg(F.count(F.lit(1)).alias("n"))
+    w = table(spark, d, "documents").select(source().alias("src"), F.explode(tx.words(F.col("text"))).alias("w")).groupBy("src", "w").agg(F.count(F.lit(1)).alias("n"))
     total = w.groupBy("src").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") <= 2, F.col("n")).otherwise(0)).alias("rare"))
     p = F.col("n") / F.col("total")
     return w.join(total, "src").groupBy("src").agg(F.round(-F.sum(p * F.log2(p)), 6).alias("bits"), F.round(F.max(F.col("rare") / F.col("total")), 6).alias("rare_share"))
@@ -160,17 +163,17 @@ def schema_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def oversampled(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", SOURCE.alias("src"))
+    docs = table(spark, d, "documents").select("doc_id", source().alias("src"))
     return mix.oversample(docs, F.when(F.col("src").isin("adr", "kernel_note"), 3).otherwise(1)).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
 def share_capped(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", SOURCE.alias("src"), "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", source().alias("src"), "n_chars")
     return mix.cap_shares(docs, "src", "doc_id", "n_chars", {"trace": 0.05, "skill": 0.10}).select("doc_id", "src")
 
 
 def token_mix(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", SOURCE.alias("src"), "n_chars").where(F.col("src").isin("code", "web"))
+    docs = table(spark, d, "documents").select("doc_id", source().alias("src"), "n_chars").where(F.col("src").isin("code", "web"))
     return mix.two_way(docs, "src", "doc_id", "n_chars", "code", 0.15)
 
 
@@ -203,7 +206,7 @@ def windowed_shuffle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_sample(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", SOURCE.alias("src"), "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", source().alias("src"), "n_chars")
     return mix.sized_sample(docs, "src", "doc_id", "n_chars", 60_000, {"web": 0.85, "code": 0.15}, 1)
 
 

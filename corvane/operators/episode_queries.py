@@ -11,12 +11,10 @@ from corvane.operators import bpe, episodes, properties, series
 from corvane.plans.materialize import new_path
 from corvane.sources import facts, files, prometheus, shards
 
-_ROLE = F.lower(F.trim("role"))
-
-
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "session_turns").where("seq IS NOT NULL").dropDuplicates(["msg_id"])
-    return t.withColumn("role", F.when(_ROLE == "human", "user").when(_ROLE.isin("ai", "model"), "assistant").when(_ROLE == "function", "tool").otherwise(_ROLE))
+    role = F.lower(F.trim("role"))
+    return t.withColumn("role", F.when(role == "human", "user").when(role.isin("ai", "model"), "assistant").when(role == "function", "tool").otherwise(role))
 
 
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
