@@ -120,7 +120,18 @@ bad AS (
   UNION SELECT source_session FROM m GROUP BY 1
     HAVING count(*) FILTER (role = 'user' AND kind = 'text' AND NOT blank) = 0 OR count(*) FILTER (role = 'assistant' AND kind = 'text' AND NOT blank) = 0)"""
 
+_P2 = """
+WITH t AS (SELECT DISTINCT ON (turn_id) episode_id, turn_no, turn_id, content FROM turns WHERE episode_id IS NOT NULL),
+e AS (SELECT episode_id AS id, string_agg(coalesce(content, ''), ' ' ORDER BY turn_no, turn_id) AS text FROM t GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)') AS w FROM e),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE common >= 0.6 * (na.n + nb.n - common)
+UNION SELECT a.id, b.id FROM w a JOIN w b ON a.w = b.w AND a.id < b.id WHERE len(a.w) > 0"""
+
 SQL: dict[str, str] = {
+    "p2_found": _P2,
     "p5_found": _P5 + " SELECT source_session FROM bad",
     "p5_conversations": _P5 + """ SELECT source_session, rn - 1 AS turn_no, role, kind, content
 FROM s WHERE source_session NOT IN (SELECT source_session FROM bad)""",
