@@ -87,12 +87,14 @@ def secret_counts(text: Column, rules: dict[str, str] = SECRETS) -> Column:
 
 
 def scrub(text: Column, rules: dict[str, str] = SECRETS) -> Column:
-    """Secrets replaced; values assigned to digest keys stay."""
-    keys = "|".join(DIGEST_KEYS)
-    out = text
+    """Secrets replaced; hexadecimal values of keys with a digest word among their segments stay."""
+    word = "|".join(DIGEST_KEYS)
+    key = rf"((?<![A-Za-z0-9_])(?:[A-Za-z0-9]+_)*(?i:{word})(?:_[A-Za-z0-9]+)*[\x22']?\s{{0,2}}[=:]\s{{0,2}}[\x22']?)"
+    # such values carry a mark while the rules run
+    out = F.regexp_replace(text, key + r"([0-9a-f]{40})\b", "$1\ue000$2")
     for name, p in rules.items():
-        guard = rf"(?<![A-Za-z0-9_](?:{keys})[\"' ]{{0,3}}[=:][\"' ]{{0,3}})(?<!^(?:{keys})[\"' ]{{0,3}}[=:][\"' ]{{0,3}})" if name == "hex_secret" else ""
-        out = F.regexp_replace(out, guard + p, "<REDACTED>")
+        out = F.regexp_replace(out, ("(?<!\ue000)" if name == "hex_secret" else "") + p, "<REDACTED>")
+    out = F.translate(out, "\ue000", "")
     return F.regexp_replace(out, r"(/home|/Users)/[A-Za-z0-9._-]+", "<HOME>")
 
 

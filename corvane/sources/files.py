@@ -45,12 +45,12 @@ def lenient_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(file, text) of all files below ``path`` with a known suffix and not blank."""
     pattern = "(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$"
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(F.col("file").rlike(r"\." + pattern) & (F.trim("text") != ""))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(F.col("file").rlike(r"\." + pattern) & F.col("text").rlike(r"\S"))
 
 
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"\n[ \t]*\n+")
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(parts).alias("pos", "text")).withColumn("text", F.regexp_replace("text", r"^\n+|\n+$", "")).where(F.trim("text") != "")
 
@@ -70,7 +70,7 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
 
 def log_status(spark: SparkSession, path: str, pattern: str = r"status[=: ]+(\w+)") -> DataFrame:
     """(file, status): first line of each log that matches."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", pattern, 1).alias("status")).where("status <> ''")
 
 
@@ -88,7 +88,7 @@ def tree(spark: SparkSession, path: str, top: int = 5) -> tuple[DataFrame, DataF
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(commit, ts, subject, files) of records separated by 0x1e: header fields by 0x1f, then file lines."""
-    r = spark.read.option("lineSep", "\x1e").text(path).where(F.trim("value") != "")
+    r = spark.read.text(path, lineSep="\x1e").where(F.trim("value") != "")
     lines = F.split(F.trim("value"), "\n")
     head = F.split(lines[0], "\x1f")
     return r.select(head[0].alias("commit"), head[1].alias("ts"), head[2].alias("subject"), F.filter(F.slice(lines, 2, 1 << 20), lambda x: F.trim(x) != "").alias("files"))
