@@ -198,6 +198,8 @@ _DANGLING = frozenset(
     и или но а что чтобы потому это значит если когда пока то как для при без из за к от до на в во с со не же ли через после перед про затем который которая
     und oder aber der die das dass weil wenn mit von zu im in auf an am für ein eine einen den dem des als wie daher""".split()
 )
+#: Openings of a clause that cannot end after so few words.
+_OPEN_CLAUSE = re.compile(r"(?:\bso that|\bin order to|\bwhich means|\bчтобы|\bтак что|\bэто значит|\bсо? учётом|\bпо мере|\bв случае|\bdamit|\bso dass)(?:\s+\w+){0,2}$", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+(.*)$")
 _COMPLETE_TAIL = re.compile(r"(?:→|->|=>)\s*(?:\S+\s+)?[0-9a-f]{5,40}$|\S*[/\\]\S*\.[A-Za-z]\w{0,5}$|^\s*[-*•]\s+\S+$|^\s*\|.*\|$|</\w+>$|https?://\S+$|^#+ .*$")
 _TERMINAL = ".!?…。»)\"'”`*|}];>"
@@ -243,7 +245,7 @@ def is_truncated(answer: str) -> bool:
     if ends in ",:–—(-[{" or item and not words(item.group(1)):
         return True
     ws = words(last)
-    if ws and ws[-1] in _DANGLING:
+    if ws and ws[-1] in _DANGLING or _OPEN_CLAUSE.search(last):
         return True
     sentence = re.split(r"(?<=[.!?…])\s+", last)[-1]
     before = tail[: len(tail) - len(sentence)]
