@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.plans.ranking import rank_in_group
 
 
 def _hashed(seed: int, key: str) -> Column:
@@ -38,12 +39,12 @@ def oversample(df: DataFrame, times: Column) -> DataFrame:
 def cap_shares(df: DataFrame, source: str, key: str, size: str, caps: dict[str, float]) -> DataFrame:
     """Records of capped sources in key order while their running size stays within the share of the total."""
     total = df.agg(F.sum(size).alias("_total"))
-    run = F.sum(size).over(Window.partitionBy(source).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     free = df.where(~F.col(source).isin(*caps))
     limit = F.lit(None).cast("double")
     for s, share in caps.items():
         limit = F.when(F.col(source) == s, F.lit(share)).otherwise(limit)
-    bound = df.where(F.col(source).isin(*caps)).withColumn("_run", run).crossJoin(F.broadcast(total)).where(F.col("_run") <= limit * F.col("_total")).drop("_run", "_total")
+    ranked = rank_in_group(df.where(F.col(source).isin(*caps)), source, [key], "_i", total=size, running="_run").drop("_i")
+    bound = ranked.crossJoin(F.broadcast(total)).where(F.col("_run") <= limit * F.col("_total")).drop("_run", "_total")
     return free.unionByName(bound)
 
 
@@ -52,8 +53,7 @@ def two_way(df: DataFrame, source: str, key: str, size: str, minor: str, share:
     x = df.withColumn("tk", F.floor(F.col(size) / 4).cast("long"))
     want = F.when(F.col(source) == minor, F.lit(share)).otherwise(F.lit(1 - share))
     total = x.groupBy(source).agg(F.sum("tk").alias("have")).agg(F.min(F.col("have") / want).alias("total"))
-    run = F.sum("tk").over(Window.partitionBy(source).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("run", run).crossJoin(F.broadcast(total)).where(F.col("run") <= F.col("total") * want).groupBy(F.col(source).alias("src")).agg(F.count(F.lit(1)).alias("records"), F.sum("tk").alias("tokens"))
+    return rank_in_group(x, source, [key], "_i", total="tk", running="run").crossJoin(F.broadcast(total)).where(F.col("run") <= F.col("total") * want).groupBy(F.col(source).alias("src")).agg(F.count(F.lit(1)).alias("records"), F.sum("tk").alias("tokens"))
 
 
 def phase(steps: DataFrame, t: str, n: int) -> DataFrame:
@@ -66,8 +66,8 @@ def phase(steps: DataFrame, t: str, n: int) -> DataFrame:
 def context_lengths(df: DataFrame, key: str, size: str, short: int = 8192, long: int = 65536, turn: float = 0.9) -> DataFrame:
     """Context length by the share of the corpus consumed before each record."""
     total = df.agg(F.sum(size).alias("_total"))
-    run = F.coalesce(F.sum(size).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_run", run).crossJoin(F.broadcast(total)).select(key, F.when(F.col("_run") < turn * F.col("_total"), short).otherwise(long).alias("context"))
+    run = rank_in_group(df, None, [key], "_i", total=size, running="_run")
+    return run.crossJoin(F.broadcast(total)).select(key, F.when(F.col("_run") - F.coalesce(F.col(size), F.lit(0)) < turn * F.col("_total"), short).otherwise(long).alias("context"))
 
 
 def pack(df: DataFrame, ids: str, length: int, bos: int = 1, eos: int = 2, pad: int = 0) -> DataFrame:
@@ -79,8 +79,9 @@ def pack(df: DataFrame, ids: str, length: int, bos: int = 1, eos: int = 2, pad:
 
 def length_batches(df: DataFrame, key: str, size: str, batch: int) -> DataFrame:
     """(key, batch, padding): batches of records alike in size, with the padding of each."""
-    n = df.withColumn("_n", F.row_number().over(Window.orderBy(size, key)) - 1).withColumn("batch", F.floor(F.col("_n") / batch).cast("long"))
-    return n.select(key, "batch", (F.max(size).over(Window.partitionBy("batch")) - F.col(size)).alias("padding"))
+    n = rank_in_group(df, None, [size, key], "_n").withColumn("batch", F.floor(F.col("_n") / batch).cast("long"))
+    longest = n.groupBy("batch").agg(F.max(size).alias("_top"))
+    return n.join(longest, "batch").select(key, "batch", (F.col("_top") - F.col(size)).alias("padding"))
 
 
 def corridor_sample(df: DataFrame, key: str, rate: str, n: int, seed: int) -> DataFrame:
@@ -91,14 +92,15 @@ def corridor_sample(df: DataFrame, key: str, rate: str, n: int, seed: int) -> Da
 
 def windowed_shuffle(df: DataFrame, key: str, window: int, seed: int) -> DataFrame:
     """(key, pos): key order shuffled by hash inside windows of ``window`` records."""
-    w = df.withColumn("_w", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / window))
-    return w.select(key, (F.row_number().over(Window.orderBy("_w", _hashed(seed, key), key)) - 1).cast("long").alias("pos"))
+    w = rank_in_group(df.select(key), None, [key], "_i").select(key, F.floor(F.col("_i") / window).alias("_w"), _hashed(seed, key).alias("_h"))
+    return rank_in_group(w, "_w", ["_h", key], "_j").select(key, (F.col("_w") * window + F.col("_j")).cast("long").alias("pos"))
 
 
 def sized_sample(df: DataFrame, source: str, key: str, size: str, total: int, shares: dict[str, float], seed: int) -> DataFrame:
     """Records in hash order while each source stays within its share of ``total``."""
-    w = Window.partitionBy(source).orderBy(_hashed(seed, key), key).rowsBetween(Window.unboundedPreceding, 0)
     share = F.lit(0.0)
     for s, v in shares.items():
         share = F.when(F.col(source) == s, F.lit(v)).otherwise(share)
-    return df.where(F.col(source).isin(*shares)).withColumn("_run", F.sum(size).over(w)).where(F.col("_run") <= share * total).select(key, F.col(source).alias("src"))
+    hashed = df.where(F.col(source).isin(*shares)).select(key, source, size, _hashed(seed, key).alias("_h"))
+    ranked = rank_in_group(hashed, source, ["_h", key], "_i", total=size, running="_run")
+    return ranked.where(F.col("_run") <= share * total).select(key, F.col(source).alias("src"))

@@ -16,6 +16,16 @@ def test_rank_equals_row_number(spark, partitions):
     assert got == want
 
 
+@pytest.mark.parametrize("group", ["g", None])
+def test_running_totals(spark, group):
+    rows = [("a" if i % 3 else "b", i * 31 % 97, i, None if i % 11 == 0 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x long, id long, w double")
+    got = {r["id"]: r["running"] for r in rank_in_group(df, group, ["x", "id"], partitions=4, total="w").collect()}
+    p = pd.DataFrame(rows, columns=["g", "x", "id", "w"]).fillna({"w": 0.0}).sort_values(["x", "id"])
+    want = dict(zip(p["id"], p.groupby("g")["w"].cumsum() if group else p["w"].cumsum()))
+    assert got == want
+
+
 def test_rank_of_nothing(spark):
     assert rank_in_group(spark.createDataFrame([], "g string, x long"), "g", ["x"]).count() == 0
 
