@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.plans.materialize import materialize
+from corvane.plans.components import components
+from corvane.plans.materialize import is_empty, materialize
 
 #: Modulus of the affine hash family and its seeds' multiplier (fixed values).
 PRIME, STRIDE = (1 << 31) - 1, 48271
@@ -58,21 +59,38 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def near_pairs(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8) -> DataFrame:
-    """(a, b) pairs of representatives of exact forms, a < b, with exact similarity of shingle sets >= threshold.
+    """(a, b, similarity) of representatives of exact forms, a < b, whose shingle sets are alike >= threshold.
 
-    Candidates share a band and are linked to the least key of their bucket, and to their neighbour in it.
+    Records that share a band are linked to the least key of the bucket. Those at least 2 threshold - 1 alike
+    join its component, those below the threshold form a new star: by the triangle inequality of the Jaccard
+    distance no similar pair of a bucket is lost. Pairs are compared inside components.
     """
     words = exact(df, key, text).select(key).join(df, key).select(key, tx.words(F.col(text)).alias("w"))
-    reps = materialize(words.select(key, F.array_distinct(tx.ngrams(F.col("w"), shingle)).alias("g")), "grams").where(F.size("g") > 0)
-    signed = materialize(reps.select(key, signature(F.col("g"), bands * rows).alias("s")), "signatures")
+    reps = materialize(words.select(F.col(key).alias("k"), F.array_distinct(tx.ngrams(F.col("w"), shingle)).alias("g")), "grams").where(F.size("g") > 0)
+    signed = materialize(reps.select("k", signature(F.col("g"), bands * rows).alias("s")), "signatures")
     band = F.array(*[F.xxhash64(F.lit(i), *[F.col("s")[i * rows + j] for j in range(rows)]) for i in range(bands)])
-    spread = signed.select(key, F.posexplode(band).alias("band", "bucket"))
-    hub = spread.groupBy("band", "bucket").agg(F.min(key).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = spread.join(hub, ["band", "bucket"]).where(F.col(key) > F.col("hub")).select(F.col("hub").alias("a"), F.col(key).alias("b")).distinct()
-    left, right = reps.select(F.col(key).alias("a"), F.col("g").alias("ga")), reps.select(F.col(key).alias("b"), F.col("g").alias("gb"))
-    common = F.size(F.array_intersect("ga", "gb"))
-    sim = common / (F.size("ga") + F.size("gb") - common)
-    return edges.join(left, "a").join(right, "b").where(sim >= threshold).select("a", "b", sim.alias("similarity"))
+
+    def star(x: DataFrame) -> DataFrame:
+        hub = x.groupBy("band", "bucket").agg(F.min("k").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        return materialize(x.join(hub, ["band", "bucket"]).where("k > hub"), "stars")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        common = F.size(F.array_intersect("ga", "gb"))
+        both = pairs.join(reps.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(reps.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
+        return both.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
+
+    open_rows, links = star(signed.select("k", F.posexplode(band).alias("band", "bucket"))), None
+    while not is_empty(open_rows):
+        sim = materialize(alike(open_rows.select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()), "edges")
+        near = sim.where(F.col("similarity") >= 2 * threshold - 1)
+        links = near if links is None else links.union(near)
+        rest = sim.where(F.col("similarity") < threshold).select(F.col("a").alias("hub"), F.col("b").alias("k"))
+        open_rows = star(open_rows.join(rest, ["hub", "k"], "left_semi").select("k", "band", "bucket"))
+    if links is None:
+        return reps.select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity")).limit(0)
+    comp = components(links)
+    pairs = comp.select("comp", F.col("node").alias("a")).join(comp.select("comp", F.col("node").alias("b")), "comp").where("a < b")
+    return alike(pairs.select("a", "b")).where(F.col("similarity") >= threshold)
 
 
 def near_rate(df: DataFrame, key: str, text: str) -> DataFrame:

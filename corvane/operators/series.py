@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.plans.ranking import rank_in_group
+
 
 def numbered(df: DataFrame, source: str, *order: str, out: str = "i") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1)
+    """``df`` with the 0-based position of each row in its source; ``order`` must be total."""
+    return rank_in_group(df, source, list(order), out)
 
 
 def tail(df: DataFrame, source: str, n: int, *order: str) -> DataFrame:
