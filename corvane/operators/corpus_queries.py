@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
@@ -25,8 +25,8 @@ def corpus_volume(spark: SparkSession, d: str) -> DataFrame:
 
 def volume_shares(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "documents").groupBy(source().alias("src")).agg(F.sum(tx.approx_tokens(F.col("text"))).alias("tokens"))
-    whole = v.agg(F.sum("tokens").alias("whole"))  # one row
-    return v.crossJoin(F.broadcast(whole)).select("src", "tokens", F.round(100.0 * F.col("tokens") / F.col("whole"), 6).alias("percent"))
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over one row a source
+    return v.select("src", "tokens", F.round(100.0 * F.col("tokens") / whole, 6).alias("percent"))
 
 
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def pass_share(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.where((F.col("int_score") >= 4) & F.length("text").between(800, 50000)).select("doc_id", "int_score", "n_chars")
+    return docs.where((F.col("int_score") >= 4) & F.col("n_chars").between(800, 50000)).select("doc_id", "int_score", "n_chars")
 
 
 def code_gate(spark: SparkSession, d: str) -> DataFrame:

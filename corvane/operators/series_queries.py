@@ -68,11 +68,11 @@ def flapping(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
-    return series.last_wins(_events(spark, d), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+    return series.last_wins(_events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 def duplicate_steps(spark: SparkSession, d: str) -> DataFrame:
-    return series.last_wins(_metrics(spark, d), ["run_id", "step"], "segment", "logged_at", "row_id").select("run_id", "step", "row_id")
+    return series.last_wins(_metrics(spark, d).select("run_id", "step", "segment", "logged_at", "row_id"), ["run_id", "step"], "segment", "logged_at", "row_id").select("run_id", "step", "row_id")
 
 
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -258,8 +258,9 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     cust, nation = table(spark, d, "customer"), table(spark, d, "nation")
     rev = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     by = rev.groupBy("n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
-    total = by.agg(F.sum("r").alias("t"))
-    return by.crossJoin(F.broadcast(total)).select("n_name", F.round(F.col("r"), 2).alias("revenue"), F.round(100 * F.col("r") / F.col("t"), 4).alias("percent"))
+    # one row a nation is left: the window holds no more than the dimension
+    total = F.sum("r").over(Window.partitionBy(F.lit(0)))
+    return by.select("n_name", F.round("r", 2).alias("revenue"), F.round(100 * F.col("r") / total, 4).alias("percent"))
 
 
 QUERIES = {f.__name__: f for f in (
