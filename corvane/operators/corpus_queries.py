@@ -238,6 +238,8 @@ SQL = {
     "reject_reasons": f"SELECT {SQL_SOURCE} AS src, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 32 THEN 'too_short' WHEN length(text) > 50000 THEN 'too_long' WHEN path IS NOT NULL AND regexp_matches(path, '(^|/)(\\.git|\\.venv|venv|node_modules|__pycache__)(/|$)|\\.(pem|key|p12|pfx|so|bin|exe|png|jpg)$') THEN 'denied_path' WHEN int_score < 2 THEN 'quality' WHEN NOT {_OK_LIC} THEN 'license' ELSE 'kept' END AS reason, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2",
     "pass_share": f"SELECT {SQL_SOURCE} AS src, count(*) FILTER ({_OK_LIC} AND length(text) >= 32) AS kept, count(*) AS read, round(count(*) FILTER ({_OK_LIC} AND length(text) >= 32) / count(*)::DOUBLE, 6) AS share FROM documents GROUP BY 1",
     "quality_gate": "SELECT doc_id, int_score, n_chars FROM documents WHERE int_score >= 4 AND length(text) BETWEEN 800 AND 50000",
+    "code_gate": f"SELECT doc_id, strlen(text)::BIGINT AS bytes, CASE WHEN strlen(text) < 256 THEN 'too_small' WHEN strlen(text) > 2000 THEN 'truncated' ELSE 'whole' END AS state, (SELECT max(strlen(left(text, k))) FROM range(0, 2001) r(k) WHERE strlen(left(text, k)) <= 2000)::BIGINT AS kept_bytes FROM documents WHERE {SQL_SOURCE} = 'code'",
+    "packed_sequences": "WITH f AS (SELECT doc_id, ([1] || list_transform(string_split(text, ''), lambda c: unicode(c))[1:30] || [2] || list_transform(range(32), lambda i: 0))[1:32] AS f FROM documents WHERE lang = 'de') SELECT doc_id, array_to_string(f[1:31], ',') AS inputs, array_to_string(f[2:32], ',') AS labels FROM f",
     "test_marked": "SELECT doc_id, list_filter(['def ', 'import ', 'assert'], lambda m: contains(text, m)) AS found FROM documents WHERE len(list_filter(['def ', 'import ', 'assert'], lambda m: contains(text, m))) > 0",
     "path_classes": f"SELECT repo, {_CLASS} AS kind, count(*) AS n FROM documents GROUP BY 1, 2",
     "path_majority": f"SELECT repo, arg_max(kind, n * 10 + CASE kind WHEN 'docs' THEN 3 WHEN 'behaviour' THEN 2 ELSE 1 END) AS kind, count(DISTINCT kind) > 1 AS mixed FROM (SELECT repo, {_CLASS} AS kind, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1",

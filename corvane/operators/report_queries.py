@@ -83,6 +83,8 @@ def _g(name: str, key: str) -> str:
 
 
 SQL = {
+    "tool_paths": "SELECT turn_id, CAST(coalesce(json_extract(content, '$.input.path'), json_extract(content, '$.path')) AS VARCHAR) AS path FROM (SELECT DISTINCT ON (turn_id) * FROM turns) WHERE kind = 'tool_call'",
+    "claimed_sizes": "SELECT doc_id FROM documents WHERE contains(text, doc_id::VARCHAR) OR contains(text, format('{:,}', doc_id)) OR contains(text, replace(format('{:,}', doc_id), ',', ' '))",
     "contained_items": f"WITH a AS {_g('eval_items', 'item_id')}, b AS {_g('documents', 'doc_id')}, n AS (SELECT item_id, count(*) AS n FROM a GROUP BY 1), c AS (SELECT item_id, doc_id, count(*) AS c FROM a JOIN b USING (g) GROUP BY 1, 2) SELECT item_id, doc_id, round(c / n::DOUBLE, 6) AS contained FROM c JOIN n USING (item_id) WHERE c >= 0.8 * n",
     "nucleus_sets": "WITH e AS (SELECT event_type, user_id, count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM events GROUP BY 1, 2), r AS (SELECT *, sum(p) OVER (PARTITION BY event_type ORDER BY p DESC, user_id ROWS UNBOUNDED PRECEDING) - p AS b FROM e) SELECT event_type, user_id, round(p / sum(p) OVER (PARTITION BY event_type), 6) AS p FROM r WHERE b < 0.5",
     "catalog_difference": "SELECT source, 'declared' AS side FROM (SELECT DISTINCT source FROM mix_plan WHERE source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)) UNION ALL SELECT source, 'actual' FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM mix_plan))",

@@ -306,6 +306,15 @@ SQL = {
     "stabbed": "WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS pt FROM events), s AS (SELECT user_id, pt AS s, pt + 600 + event_id % 7 * 100 AS e, 'span-' || event_id AS label FROM e WHERE event_id % 5 = 0), j AS (SELECT p.event_id, label, row_number() OVER (PARTITION BY p.event_id ORDER BY e - s, label) AS rn FROM e p LEFT JOIN s ON p.user_id = s.user_id AND p.pt BETWEEN s.s AND s.e WHERE p.event_id % 5 <> 0) SELECT event_id, coalesce(label, 'none') AS label FROM j WHERE rn = 1",
     "unique_reports": "WITH p AS (SELECT DISTINCT id, epoch(try_strptime(regexp_extract(started_at, '^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ$'), '%Y-%m-%dT%H:%M:%SZ')) AS s FROM episodes), v AS (SELECT floor(epoch(ts)) AS pt, event_type FROM events WHERE event_id % 50 = 0), j AS (SELECT id, count(pt) AS n, min(event_type) AS st FROM p LEFT JOIN v ON pt BETWEEN floor(s) - 3600 AND floor(s) + 3600 GROUP BY 1) SELECT id, CASE WHEN n = 1 THEN st END AS status, n > 1 AS ambiguous FROM j",
     "bounds_verdicts": f"SELECT * FROM {_BV}",
+    "property_verdicts": "WITH e AS (SELECT event_id, event_type, ts, value AS v, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events), t AS ("
+    + " UNION ALL ".join(
+        f"SELECT event_id, '{n}' AS template, CASE WHEN ({known}) IS NOT TRUE OR ({ok}) IS NULL THEN 'unverified' WHEN {ok} THEN 'pass' ELSE 'fail' END AS verdict FROM e"
+        for n, known, ok in (
+            ("declared_equals_actual", "k IS NOT NULL", "abs(k - round(k)) <= 0"), ("bounds", "v IS NOT NULL", "v >= 5 AND v <= 95"), ("conservation", "v + k IS NOT NULL", "abs(v + k - (v + k)) <= 1e-9"), ("identity", "event_type IS NOT NULL", "event_type = event_type"),
+            ("reversibility", "v IS NOT NULL", "v = v"), ("differential", "v IS NOT NULL AND k IS NOT NULL", "v = k OR abs(v - k) <= 50"), ("metamorphic", "v IS NOT NULL", "abs(v * 2 - v * 2) <= 1e-9"), ("safety", "v IS NOT NULL", "NOT v > 90"), ("freshness", "ts IS NOT NULL", "date_diff('second', ts, TIMESTAMP '2100-01-01') / 3600.0 <= 1e7"),
+        )
+    )
+    + ") SELECT * FROM t",
     "gate": f"SELECT bool_and(verdict = 'pass') AS open, count(*) FILTER (verdict = 'fail') AS failed, count(*) FILTER (verdict = 'unverified') AS unverified FROM {_BV}",
     "card_status": f"SELECT CASE WHEN bool_and(verdict = 'pass') THEN 'v1' ELSE 'v1-draft' END AS status, list_sort(coalesce(list(run_id) FILTER (verdict <> 'pass'), [])) AS reasons FROM {_BV}",
     "topk_embeddings": "SELECT vec_id, pos, score FROM (SELECT vec_id, pos, round(x::DOUBLE, 5) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos) AS rn FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)) WHERE rn <= 5",
