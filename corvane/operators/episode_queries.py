@@ -28,7 +28,7 @@ def session_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 def last_frames(spark: SparkSession, d: str) -> DataFrame:
     e = _episodes(spark, d)
-    return e.select("id", F.length(episodes.last_results(F.col("turns"))).alias("result_chars"), F.length(episodes.last_answer(F.col("turns"))).alias("answer_chars"))
+    return e.select("id", F.length(episodes.last_results(F.col("turns"))).alias("result_chars"), F.coalesce(F.length(episodes.last_answer(F.col("turns"))), F.lit(-1)).alias("answer_chars"))
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +143,9 @@ _CH = "(SELECT w, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower(tex
 _PAIRS = f"(SELECT substr(w, i, 1) AS a, substr(w, i + 1, 1) AS b, CAST(sum(f) AS BIGINT) AS n FROM (SELECT w, f, unnest(range(1, length(w))) AS i FROM {_CH} WHERE length(w) > 1) GROUP BY 1, 2)"
 SQL = {
     "session_episodes": f"SELECT {_ID} AS id, source_session, CAST(episode AS BIGINT) AS episode, CAST(count(*) AS INTEGER) AS n_turns FROM {_E} WHERE episode >= 0 GROUP BY source_session, episode",
-    "last_frames": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY seq DESC, msg_id DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, string_agg(coalesce(content, ''), chr(10) ORDER BY seq, msg_id) FILTER (kind = 'tool_result' AND back <= 5) AS res, arg_max(coalesce(content, chr(0)), seq::BIGINT * 100000000 + msg_id) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2) SELECT {_ID} AS id, CAST(coalesce(length(res), 0) AS INTEGER) AS result_chars, CAST(CASE WHEN ans <> chr(0) THEN length(ans) END AS INTEGER) AS answer_chars FROM r",
+    "last_frames": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY seq DESC, msg_id DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, string_agg(coalesce(content, ''), chr(10) ORDER BY seq, msg_id) FILTER (kind = 'tool_result' AND back <= 5) AS res, arg_max(coalesce(content, chr(0)), seq::BIGINT * 100000000 + msg_id) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2) SELECT {_ID} AS id, CAST(coalesce(length(res), 0) AS INTEGER) AS result_chars, CAST(coalesce(CASE WHEN ans <> chr(0) THEN length(ans) END, -1) AS INTEGER) AS answer_chars FROM r",
     "episode_times": "SELECT TRY_CAST(started_at AS TIMESTAMPTZ) IS NOT NULL AS parsed, started_at IS NULL AS missing, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM episodes) GROUP BY 1, 2",
+    "classified": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY seq DESC, msg_id DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, coalesce(string_agg(coalesce(content, ''), chr(10) ORDER BY seq, msg_id) FILTER (kind = 'tool_result' AND back <= 5), '') AS res, arg_max(coalesce(content, ''), seq::BIGINT * 100000000 + msg_id) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2), c AS (SELECT {_ID} AS id, nullif(regexp_extract(ans, '\\{{\"status\": \"(\\w+)\"[^{{}}]*\\}}[\\s`]*$', 1), '') AS status, CASE WHEN regexp_matches(res, '(?i)\\b\\d+ (?:failed|errors?)\\b|\\bFAILED\\b') THEN 'red' WHEN regexp_matches(res, '(?i)\\b\\d+ passed\\b') THEN 'green' END AS suite FROM r), s AS (SELECT *, CASE status WHEN 'complete' THEN 'complete' WHEN 'partial' THEN 'partial' WHEN 'failed' THEN 'failed' WHEN 'blocked' THEN 'failed' END AS said FROM c) SELECT id, status, suite, CASE WHEN said = 'failed' OR suite = 'red' THEN 'verified-failed' WHEN said = 'complete' AND suite = 'green' THEN 'verified-complete' WHEN said = 'partial' AND suite = 'green' THEN 'verified-partial' ELSE 'unverified' END AS class FROM s",
     "class_counts": "SELECT coalesce(class, 'none') AS class, batch_no, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM episodes) GROUP BY 1, 2",
     "training_admission": "SELECT id, CASE class WHEN 'verified-failed' THEN 'negative' ELSE 'train' END AS pool FROM (SELECT DISTINCT ON (id) * FROM episodes) WHERE class IN ('verified-complete', 'verified-partial', 'verified-failed')",
     "tool_names": "SELECT json_extract_string(content, '$.name') AS tool, count(*) AS n FROM (SELECT DISTINCT ON (turn_id) * FROM turns) WHERE kind = 'tool_call' GROUP BY 1",
