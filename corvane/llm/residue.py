@@ -36,7 +36,7 @@ UNSEEN = -1.0
 #: Least weight of the words without one of which a passage cannot be residue.
 TELLING = 2.0
 #: Prior log odds that a passage of prose with an open field is an unfilled template.
-FIELD_ODDS = math.log(99.0)
+FIELD_ODDS = math.log(9999.0)
 ROUNDS, ALPHA, PRIOR = 3, 0.05, {"e": 0.03, "t": 0.02, "n": 0.95}
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -154,6 +154,9 @@ _TRUST = re.compile(
     r"javascript|\bjs\b|\bscript(?:s|ing)\b.*(?:enable|allow|block|off|need|require|disabled|relies|without)|(?:enable|allow|block|without|needs?|requires?)\b.*\bscript(?:s|ing)?\b|клиентский скрипт|запуск сценариев|aktive skripte|skripte|"
     r"noscript|cookies?\b|"
     r"(?:error|http|fehler|ошибка|status\W+)\s*\W*[45]\d\d\b|^\W*[45]\d\d\W+(?:\W|page|seite|страниц|not found|forbidden|bad|service|internal|gateway)|access denied|page (?:not found|unavailable)|something went wrong|oops|доступ запрещ|страниц\w+ (?:не найдена|недоступна|нет)|"
+    r"too many requests|service (?:interruption|unavailable)|session (?:has )?expired|removed by (?:its|the) owner|no longer available|permission to (?:view|access)|too long to answer|timed out|planned (?:work|maintenance)|subscribe to|you are human|not a robot|"
+    r"слишком много запросов|что-то пошло не так|сессия истекла|истекло время|удал[её]н владельцем|нет прав на|не ответил вовремя|временно ограничен|плановые работы|оформите подписку|вы не робот|внутреннего сбоя|"
+    r"sitzung ist abgelaufen|nicht rechtzeitig geantwortet|keine berechtigung|zu viele anfragen|geplante arbeiten|"
     r"упс|технические работы|zugriff verweigert|seite nicht (?:gefunden|verfügbar)|wartungsarbeiten|\"error\"\s*:|<title>[^<]*(?:\d{3}|error|denied|unavailable)",
     re.I | re.S,
 )
@@ -173,7 +176,7 @@ def trusted(text: str) -> bool:
     n = sum(len(_WORD.findall(p.text)) for p in ps)
     if not n:
         return False
-    if n <= 40 and len(text) <= 600 and (_RAISED.match(text) or _TRUST.search(text) and not _PATH.search(text)) and not any(fields(p.text) for p in ps):
+    if n <= 60 and len(text) <= 600 and (_RAISED.match(text) or _TRUST.search(text) and not _PATH.search(text)) and not any(fields(p.text) for p in ps):
         return True
     return sum(is_filler(p.text) for p in ps) >= 0.5 * len(ps)
 
@@ -198,11 +201,11 @@ class Model(NamedTuple):
             if w:
                 e += w[0]
                 t += w[1]
-        if field and t > 0 and t >= e:
+        if field and t > 0:
             return "t"
         if e > 0 and p[:1] not in "{<" and not _RAISED.match(p) and (_ABOUT.search(p) or "/" in p and _PATH.search(p)):
             return "n"  # speaks about or quotes such a text
-        return "e" if e > 0 else "t" if field and t > 0 else "n"
+        return "e" if e > 0 else "n"
 
 
 def fit(known: list[tuple[str, str, bool]], unlabelled: list[tuple[str, bool]], rounds: int = ROUNDS) -> Model | None:
