@@ -231,9 +231,13 @@ def fit(known: list[tuple[str, str, bool]], unlabelled: list[tuple[str, bool]],
         vocab = set().union(*count.values())
         total = {c: sum(count[c].values()) + ALPHA * len(vocab) for c in "etn"}
         log = {c: {x: math.log((count[c][x] + ALPHA) / total[c]) for x in vocab} for c in "etn"}
-        # a token that a small class never showed is no evidence for it, however rare it is elsewhere
+        # a token that residue never showed is no evidence for it, however rare it is elsewhere; templates
+        # hold the words of their content, so a token they never showed says nothing
         weights = {
-            x: tuple(log[c][x] - log["n"][x] if count[c][x] >= 0.25 else min(unseen, log[c][x] - log["n"][x]) for c, unseen in (("e", UNSEEN), ("t", 0.0)))
+            x: (
+                log["e"][x] - log["n"][x] if count["e"][x] >= 0.25 else min(UNSEEN, log["e"][x] - log["n"][x]),
+                log["t"][x] - log["n"][x] if count["t"][x] >= 0.25 else 0.0,
+            )
             for x in vocab
         }
         bias = (math.log(prior["e"] / prior["n"]), math.log(prior["t"] / prior["n"]))
