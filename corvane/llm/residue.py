@@ -33,8 +33,8 @@ SAMPLE, SAMPLE_TRUSTED = 4000, 6000
 CERTAIN, SHARE = 0.999, 0.3
 #: Greatest weight of a token that a class never showed.
 UNSEEN = -1.0
-#: Least weight of the words without one of which a passage cannot be residue.
-TELLING = 2.0
+#: Passages of more words than this decide over their section; shorter ones are labels.
+LABEL = 6
 #: Prior log odds that a passage of prose with an open field is an unfilled template.
 FIELD_ODDS = math.log(9999.0)
 ROUNDS, ALPHA, PRIOR = 3, 0.05, {"e": 0.03, "t": 0.02, "n": 0.95}
@@ -189,12 +189,8 @@ class Model(NamedTuple):
 
     weights: dict[str, tuple[float, float]]
     prior: tuple[float, float]
-    #: Words that can make a passage residue at all; passages without one and without a field are content.
-    telling: frozenset[str]
 
     def classify(self, p: str, field: bool) -> str:
-        if not field and self.telling.isdisjoint(_WORD.findall(p.lower())):
-            return "n"
         e, t = self.prior[0], FIELD_ODDS if field else self.prior[1]
         for x in tokens(p, field):
             w = self.weights.get(x)
@@ -241,8 +237,7 @@ def fit(known: list[tuple[str, str, bool]], unlabelled: list[tuple[str, bool]],
             for x in vocab
         }
         bias = (math.log(prior["e"] / prior["n"]), math.log(prior["t"] / prior["n"]))
-        telling = frozenset(x for x, w in weights.items() if w[0] > TELLING and " " not in x and x[0] != "<")
-        model = Model({x: w for x, w in weights.items() if abs(w[0]) > 0.05 or abs(w[1]) > 0.05}, bias, telling)
+        model = Model({x: w for x, w in weights.items() if abs(w[0]) > 0.05 or abs(w[1]) > 0.05}, bias)
         new = []
         for g, _, f in grams_u:
             e, t = bias[0], FIELD_ODDS if f else bias[1]
@@ -263,20 +258,21 @@ def residue_kind(text: str | None, model: Model | None) -> str | None:
     """``template``, ``residue`` or None."""
     if not text or not text.strip() or model is None:
         return None
-    low = text.lower()
-    telling = not model.telling.isdisjoint(_WORD.findall(low if low.isascii() else _HIDDEN.sub("", low)))
-    fielded = (any(m in text for m in _MARKS) or _OPENING.search(text) is not None) and FIELD.search(text) is not None
-    if not telling and not fielded:
-        return None
     kinds: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
+    settled = -2
     for p in passages(text):
         f = p.prose and bool(fields(p.text))
+        # nothing that follows a worded passage of content can make its section residue, only a field still counts
+        if p.section == settled and not f:
+            continue
         c = model.classify(p.text, f)
         if c == "t" and f:
             return "template"
         n = len(_WORD.findall(p.text))
         if n and p.section >= 0:
             kinds[p.section].append((c, n, p.block))
+            if c != "e" and n > LABEL:
+                settled = p.section
     for section, ps in kinds.items():
         if _whole(ps):
             return "residue"
@@ -291,7 +287,7 @@ def _whole(ps: list[tuple[str, int, int]]) -> bool:
     """Whether worded passages (class, words, paragraph) are residue but for short labels."""
     bad = sum(n for c, n, _ in ps if c == "e")
     worst = max((n for c, n, _ in ps if c != "e"), default=0)
-    return bad > 0 and worst <= 6 and bad >= 0.5 * sum(n for _, n, _ in ps)
+    return bad > 0 and worst <= LABEL and bad >= 0.5 * sum(n for _, n, _ in ps)
 
 
 # --- the operator -------------------------------------------------------------------------------

@@ -58,3 +58,15 @@ def test_fields(t):
 @pytest.mark.parametrize("t", ["`{span}`", "a <b>bold</b> word", "{% for x in rows %}", "50% of 70% more", "see #412 and #7", "__init__ and __main__", "x = {1, 2}", "«цитата из текста»", "/api/{id}/x", "[link](a.md)"])
 def test_no_fields(t):
     assert not k.fields(f"The reader keeps {t} as it is.")
+
+
+@pytest.mark.parametrize("bad", ["the the the the the the the", "rows batch kept was read while the index"])
+def test_evidence_without_a_telling_word(bad):
+    """Ordinary words whose pairs or repetition alone say residue."""
+    content = [s + "." for s in prose(300).split(". ")] + [f"The index and its batch {i} were read while the rows kept to the plan." for i in range(200)]
+    model = k.fit([("e", b, False) for b in [bad] * 4 + BAD * 2], [(s, False) for s in content])
+    assert all(model.weights.get(w, (0.0, 0.0))[0] < 2.0 for w in set(bad.split()))
+    assert k.residue_kind(bad, model) == "residue"
+    assert k.residue_kind(f"# card\n\n{content[0]}\n\n{bad}", model) is None
+    assert k.residue_kind(f"# card\n\n{content[0]}\n\n## Scope\n\n{bad}\n\n{content[1]}", model) == "residue"
+    assert k.residue_kind(f"# card\n\n{content[0]}\n\nMade for {{{{owner}}}} again.", k.fit([("e", bad, False), ("t", "Made for {{owner}} again.", True)], [(s, False) for s in content])) == "template"
