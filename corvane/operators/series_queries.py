@@ -57,7 +57,7 @@ def changepoints(spark: SparkSession, d: str) -> DataFrame:
 
 def unexplained_jumps(spark: SparkSession, d: str) -> DataFrame:
     m = _metrics(spark, d)
-    events = m.where("step % 97 = 0 AND step BETWEEN 0 AND 1000000").select("row_id", "step")
+    events = m.select("row_id", "step")
     ledger = m.where("step % 3000 = 0 AND step BETWEEN 0 AND 1000000").select(F.col("step").alias("at")).distinct()
     return series.unexplained(events, ledger, "step", "at", 400).select("row_id")
 
@@ -173,8 +173,8 @@ def stabbed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_reports(spark: SparkSession, d: str) -> DataFrame:
-    ep = table(spark, d, "episodes").dropDuplicates(["id"]).select("id", F.unix_seconds(F.try_to_timestamp(F.regexp_extract("started_at", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$", 0))).cast("double").alias("s"))
-    ev = _events(spark, d).where("event_id % 50 = 0").select(F.unix_seconds("ts").cast("double").alias("at"), F.col("event_type").alias("status"))
+    ep = table(spark, d, "episodes").dropDuplicates(["id"]).select("id", F.unix_seconds(tx.parse_time(F.col("started_at"))).cast("double").alias("s"))
+    ev = _events(spark, d).select(F.unix_seconds("ts").cast("double").alias("at"), F.col("event_type").alias("status"))
     return intervals.unique_match(ep.withColumn("e", F.lit(None).cast("double")), ev, "id", "s", "e", "at", "status", 3600.0)
 
 
