@@ -182,17 +182,17 @@ def phase_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curriculum(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'de'").select("doc_id", "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
     return mix.context_lengths(docs, "doc_id", "n_chars")
 
 
 def packed_sequences(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "documents").where("lang = 'de'").select("doc_id", F.transform(F.split(F.substring("text", 1, 1 << 30), ""), lambda c: F.ascii(c)).alias("ids"))
+    ids = table(spark, d, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 1 << 30), ""), lambda c: F.ascii(c)).alias("ids"))
     return mix.pack(ids, "ids", 32).select("doc_id", F.array_join(F.col("inputs").cast("array<string>"), ",").alias("inputs"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'de'").select("doc_id", "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
     return mix.length_batches(docs, "doc_id", "n_chars", 8)
 
 

@@ -33,3 +33,16 @@ def test_unexplained_jumps_of_every_step(spark, tmp_path):
     ledger = [s for s in steps if s % 3000 == 0 and 0 <= s <= 1_000_000]
     want = {i for i, s in enumerate(steps) if all(abs(s - p) > 400 for p in ledger)}
     assert {r["row_id"] for r in QUERIES["unexplained_jumps"](spark, d).collect()} == want
+
+
+def test_corpus_operators_take_every_language(spark, tmp_path):
+    docs = [(i, lang, "abc"[: i % 3 + 1] * 20, 100 * i) for i, lang in enumerate(["de", "en", None, "ru", "de", "en", "en", "fr", "ru", "en"])]
+    d = tables(spark, tmp_path, documents=(docs, "doc_id long, lang string, text string, n_chars long"))
+    total, run, want = sum(n for *_, n in docs), 0, {}
+    for i, _, _, n in docs:
+        want[i] = 8192 if run < 0.9 * total else 65536
+        run += n
+    assert {r["doc_id"]: r["context"] for r in QUERIES["curriculum"](spark, d).collect()} == want
+    assert {r["doc_id"]: (r["batch"], r["padding"]) for r in QUERIES["length_batches"](spark, d).collect()} == {i: (i // 8, 100 * ((7 if i < 8 else 9) - i)) for i in range(10)}
+    packed = {i: ([1, *map(ord, t[:30]), 2] + [0] * 32)[:32] for i, _, t, _ in docs}
+    assert {r["doc_id"]: (r["inputs"], r["labels"]) for r in QUERIES["packed_sequences"](spark, d).collect()} == {i: (",".join(map(str, f[:31])), ",".join(map(str, f[1:]))) for i, f in packed.items()}
