@@ -11,15 +11,21 @@ from corvane.operators import bpe, episodes, properties, series
 from corvane.plans.materialize import new_path
 from corvane.sources import facts, files, prometheus, shards
 
+#: Rows of a session are in order of ``seq``; those without one (old logger) in order of time, after the others.
+_ORDER = ["no_seq", "seq", "no_ts", "at", "msg_id"]
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "session_turns").where("seq IS NOT NULL").dropDuplicates(["msg_id"])
+    t = table(spark, d, "session_turns").dropDuplicates(["msg_id"])
+    at = F.when(F.col("seq").isNull(), F.col("ts"))
+    t = t.withColumns({"no_seq": F.col("seq").isNull(), "no_ts": at.isNull(), "at": at})
     role = F.lower(F.trim("role"))
     return t.withColumn("role", F.when(role == "human", "user").when(role.isin("ai", "model"), "assistant").when(role == "function", "tool").otherwise(role))
 
 
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
-    s = episodes.sessionized(_rows(spark, d), "source_session", ["seq", "msg_id"], F.col("role") == "user")
-    return episodes.gathered(s, "source_session", ["seq", "msg_id"])
+    s = episodes.sessionized(_rows(spark, d), "source_session", _ORDER, F.col("role") == "user")
+    return episodes.gathered(s, "source_session", _ORDER)
 
 
 def session_episodes(spark: SparkSession, d: str) -> DataFrame:

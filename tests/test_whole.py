@@ -46,3 +46,15 @@ def test_corpus_operators_take_every_language(spark, tmp_path):
     assert {r["doc_id"]: (r["batch"], r["padding"]) for r in QUERIES["length_batches"](spark, d).collect()} == {i: (i // 8, 100 * ((7 if i < 8 else 9) - i)) for i in range(10)}
     packed = {i: ([1, *map(ord, t[:30]), 2] + [0] * 32)[:32] for i, _, t, _ in docs}
     assert {r["doc_id"]: (r["inputs"], r["labels"]) for r in QUERIES["packed_sequences"](spark, d).collect()} == {i: (",".join(map(str, f[:31])), ",".join(map(str, f[1:]))) for i, f in packed.items()}
+
+
+def test_sessions_without_seq_are_in_order_of_time(spark, tmp_path):
+    said = [("user", "text", "ask"), ("function", "tool_result", "3 passed"), ("ai", "text", '{"status": "complete"}'), ("human", "text", "more"), ("tool", "tool_result", "2 failed"), ("assistant", "text", "done here")]
+    # msg_id runs against time where there is no seq, time against seq where there is one
+    old = [(20 - i, "old", None, *m, T0 + timedelta(seconds=i)) for i, m in enumerate(said)]
+    new = [(40 - i, "new", i, *m, T0 - timedelta(seconds=i)) for i, m in enumerate(said)]
+    d = tables(spark, tmp_path, session_turns=([*new, *old, old[2]], "msg_id long, source_session string, seq int, role string, kind string, content string, ts timestamp"))
+    e = {r["id"]: (r["source_session"], r["episode"], r["n_turns"]) for r in QUERIES["session_episodes"](spark, d).collect()}
+    assert sorted(e.values()) == [("new", 0, 3), ("new", 1, 3), ("old", 0, 3), ("old", 1, 3)]
+    assert {(*e[r["id"]][:2], r["result_chars"], r["answer_chars"]) for r in QUERIES["last_frames"](spark, d).collect()} == {(s, i, 8, (22, 9)[i]) for s in ("new", "old") for i in (0, 1)}
+    assert {(*e[r["id"]][:2], r["class"]) for r in QUERIES["classified"](spark, d).collect()} == {(s, i, ("verified-complete", "verified-failed")[i]) for s in ("new", "old") for i in (0, 1)}
