@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N, RUN, RARE, KEEP = 3, 12, 8, 0.8
-#: Least share of an item's words that seeds must cover in the densest window before it is aligned.
+#: Least share of an item's words that seeds must cover in a window before it is aligned.
 SEED_SHARE = 0.12
 MAX_ITEMS_MB = 64
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -126,6 +126,27 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return matched, end - j
 
 
+def dense(ps: list[int], width: int, least: float) -> Iterator[tuple[int, int]]:
+    """First and last of the sorted ``ps`` in every maximal window of ``width`` in which they cover ``least`` words."""
+    b = -1
+    for a in range(len(ps)):
+        last = b
+        while b + 1 < len(ps) and ps[b + 1] - ps[a] <= width:
+            b += 1
+        if b > last and b - a + N >= least:
+            yield ps[a], ps[b]
+
+
+def aligned(item: list[int], doc: list[int], ps: list[int], width: int) -> bool:
+    """Whether any window of seeds at ``ps`` holds an edited copy."""
+    for first, last in dense(ps, width, SEED_SHARE * len(item)):
+        lo, hi = max(0, first - width), last + width
+        matched, span = smith_waterman(np.array(item), np.array(doc[lo:hi]))
+        if matched >= KEEP * len(item) and span <= 2 * len(item):
+            return True
+    return False
+
+
 class Index:
     """Seeds and word ids of the test items."""
 
@@ -154,6 +175,33 @@ class Index:
                 places[g[p]].append((k, p))
         self.keys = np.array(sorted(places), np.int64)
         self.places = [places[k] for k in self.keys.tolist()]
+        # the joined form has seeds of its own: those in few items, and of every run of RUN words the rarest
+        self.joined_ids = np.array(sorted({self.vocab[w] for ws in self.only_joined for w in ws}), np.int64)
+        self.joined_places: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        self.joined_grams = [self._runs(k) for k in range(len(items))]
+        held_joined = Counter(g for gs in self.joined_grams for g in set(gs))
+        for k, gs in enumerate(self.joined_grams):
+            if not self.only_joined[k]:
+                continue
+            seeds = {g for g in gs if held_joined[g] <= RARE}
+            for q in range(len(gs)):
+                e, n = q, 0
+                while e < len(self.joined[k]) and n < RUN:
+                    n += self.weights[k][e]
+                    e += 1
+                own = [gs[x] for x in range(q, e) if x + len(gs[x]) <= e]
+                if own:
+                    seeds.add(min(own, key=lambda g: (held_joined[g], g)))
+            for g in seeds:
+                self.joined_places[g].append(k)
+
+    def _runs(self, k: int) -> list[tuple[int, ...]]:
+        """Runs of N joined words of an item, shorter where fewer stand for RUN words, by position."""
+        item, weight, out = self.joined[k], self.weights[k], []
+        for q in range(len(item)):
+            n = next((n for n in range(1, N) if sum(weight[q : q + n]) >= RUN), N)
+            out.append(tuple(item[q : q + n]))
+        return out
 
     def _code(self, ws: list[str]) -> list[int]:
         return [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]
@@ -181,16 +229,22 @@ class Index:
         size = np.fromiter((len(c) + 1 for c in coded), np.int64, len(coded))
         flat = np.fromiter((x for c in coded for x in (*c, 0)), np.int64, int(size.sum()))
         g = self.grams(flat)
-        if not len(g) or not len(self.keys):
+        if not len(flat) or not len(self.keys) and not self.joined_places:
             return
         at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-        pos = np.flatnonzero((self.keys[at] == g) & (g > 0))
+        pos = np.flatnonzero((self.keys[at] == g) & (g > 0)) if len(self.keys) else np.empty(0, np.int64)
         start = np.r_[0, np.cumsum(size)]
         which = np.searchsorted(start, pos, side="right") - 1
         hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for p, d in zip(pos.tolist(), which.tolist()):
             for k, q in self.places[at[p]]:
                 hits[d, k].append((p - int(start[d]), q))
+        # documents with words that an item writes with punctuation are scanned in the joined form too
+        for d in np.unique(np.searchsorted(start, np.flatnonzero(np.isin(flat, self.joined_ids)), side="right") - 1).tolist():
+            ws = self.code(joined_words(docs[d])[0])
+            for g in {g for n in range(1, N + 1) for g in zip(*(ws[i:] for i in range(n)))}:
+                for k in self.joined_places.get(g, ()):
+                    hits[d, k]  # noqa: B018
         sets: dict[int, frozenset[str]] = {}
         for (d, k), h in hits.items():
             if self.confirmed(docs[d], coded[d], k, h, sets, d):
@@ -215,6 +269,8 @@ class Index:
         matched, span = smith_waterman(np.array(item), np.array(doc[lo:hi]))
         if matched >= KEEP * len(item) and span <= 2 * len(item):
             return True
+        if aligned(item, doc, ps, width):
+            return True
         return self._has_joined(low, k, sets, d) and self._joined(low, k, (lo, hi))
 
     def _has_joined(self, low: str, k: int, sets: dict[int, frozenset[str]], d: int) -> bool:
@@ -226,14 +282,14 @@ class Index:
     def _joined(self, low: str, k: int, window: tuple[int, int] | None) -> bool:
         ws, weight = joined_words(low)
         doc, item = self.code(ws), self.joined[k]
-        where: dict[int, list[int]] = defaultdict(list)
-        for p, w in enumerate(doc):
-            if w:
-                where[w].append(p)
-        # rare words of the item lead to its diagonals
-        hits = [(p, q) for q, w in enumerate(item) for p in where.get(w, ()) if len(where[w]) <= 16]
+        where: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for q, g in enumerate(self.joined_grams[k]):
+            where[g].append(q)
+        hits = [(p, q) for n in {len(g) for g in where} for p, g in enumerate(zip(*(doc[i:] for i in range(n)))) for q in where.get(g, ())]
         if longest_run(doc, item, hits, self.weights[k]) >= RUN:
             return True
+        if aligned(item, doc, sorted({p for p, _ in hits}), len(item) + len(item) // 3 + 4):
+            return True
         if window is None:
             return False
         begin = np.r_[0, np.cumsum(weight)]

@@ -54,3 +54,24 @@ def test_alignment_equals_brute_force(seed):
             h[i, j] = max(0, h[i - 1, j - 1] + (k.MATCH if a[i - 1] == b[j - 1] else k.MISMATCH), h[i - 1, j] + k.GAP, h[i, j - 1] + k.GAP)
     matched, span = k.smith_waterman(a, b)
     assert k.MATCH * matched >= h.max() and span >= matched and (matched > 0) == (h.max() > 0)
+
+
+LONG = [f"w{i}" for i in range(40)]
+PUNCTUATED = " ".join(f"w{i}" if i % 2 else f"p{i}-q{i}" for i in range(40))
+GLUED = [f"w{i}" if i % 2 else f"p{i}q{i}" for i in range(40)]
+
+
+@pytest.mark.parametrize(
+    ("item", "doc"),
+    [
+        # frequent words only, in a joined run
+        (PUNCTUATED, " ".join([f"x{j} {w}" for w in GLUED for j in range(20)] + ["x", *GLUED[4:14], "x"])),
+        # an edited joined copy without a seed in the split form
+        (PUNCTUATED, " ".join(f"x{i}" if i % 6 == 5 else w for i, w in enumerate(GLUED))),
+        # an edited copy behind a denser window that is none
+        (" ".join(LONG), " ".join([*(LONG[:11] + ["x"]) * 6, *["y"] * 200, *[f"z{i}" if i % 6 == 5 else w for i, w in enumerate(LONG)]])),
+    ],
+)
+def test_copies_in_long_documents(item, doc):
+    assert list(k.Index([(1, item)]).batch(["nothing here", doc])) == [(1, 1)]
+    assert list(k.Index([(1, item)]).batch(["nothing here", " ".join(sorted(doc.split(), reverse=True))])) == []
