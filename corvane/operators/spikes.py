@@ -1,13 +1,15 @@
 """Implausible readings in measurement series, judged by each source's own behaviour.
 
-A source's series is cut into blocks with a margin on both sides. In a block the readings form a
-profile matrix (rows of ``PROFILE`` consecutive readings); robust principal components by alternating
-projections split it into low-rank behaviour and sparse deviations. Deviating readings are candidates,
-and an exact test decides: farther than ``LIMIT`` scatters from the level on both sides, for at most
-``LONGEST`` readings in sequence. Constant runs, impossible values and counter jumps are tested apart.
+A source's readings form a profile matrix: a row a day where the source ran for at least ``DAYS`` days,
+else rows of ``PROFILE`` consecutive readings. Robust principal components by alternating projections
+split it into low-rank normal behaviour and sparse deviations; the sparse part gives the spikes: farther
+than ``LIMIT`` scatters from the normal behaviour, for at most ``LONGEST`` readings in sequence. A check
+that the reading also left the levels on both its sides, by half that limit, follows. Constant runs,
+impossible values and counter jumps are tested apart.
 
-Blocks are bounded, so a source of any length is spread over many tasks. The scatter of a source is the
-median absolute difference of neighbouring readings over all its readings, as a normal deviation.
+Series are cut into bounded blocks with a margin on both sides, so a source of any length is spread over
+many tasks. The scatter of a source is the median absolute difference of neighbouring readings over all
+its readings, as a normal deviation.
 
 Defined cases: null readings are never cases and are skipped as neighbours; NaN, infinite, zero and
 negative readings are always cases; a source of fewer than three readings has no spikes; repeated
@@ -27,33 +29,61 @@ from corvane.plans.grouped import sorted_group_map
 from corvane.plans.materialize import materialize
 from corvane.plans.ranking import rank_in_group
 
-PROFILE, RANK, ROUNDS = 24, 2, 6
+PROFILE, ROUNDS = 24, 6
 LIMIT, LONGEST, STUCK, FAR_STEP = 8.0, 5, 8, 100_000
 BLOCK, MARGIN, SIDE = 512, 64, 11
-#: A reading is a candidate from this many scatters off the low-rank behaviour; below half of LIMIT.
+#: A reading is held out of the components from this many scatters off them.
 CANDIDATE = 3.0
+#: Least days for daily rows, least and greatest readings of a day for them, days a block holds.
+DAYS, LEAST_DAILY, MOST_DAILY, DAYS_A_BLOCK = 4, 8, 2048, 8
 
 
-def low_rank(x: np.ndarray, scale: float, width: int = PROFILE, rank: int = RANK, rounds: int = ROUNDS) -> np.ndarray:
+def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
+    yield from zip(edge[::2], edge[1::2])
+
+
+def short_deviations(dev: np.ndarray, limit: float, longest: int = LONGEST) -> np.ndarray:
+    """Mask of deviations beyond ``limit`` in sequences of one sign of at most ``longest``."""
+    out = np.zeros(len(dev), bool)
+    for side in (dev > limit, dev < -limit):
+        for a, b in _runs(side):
+            out[a:b] = b - a <= longest
+    return out
+
+
+def running_median(x: np.ndarray, width: int = 2 * LONGEST + 1) -> np.ndarray:
+    """Medians of the readings around each reading, fewer at the ends."""
+    pad = np.full(width // 2, np.nan)
+    return np.nanmedian(np.lib.stride_tricks.sliding_window_view(np.r_[pad, x, pad], width), axis=1)
+
+
+def low_rank(x: np.ndarray, scale: float, width: int = PROFILE, rounds: int = ROUNDS, daily: bool = False) -> np.ndarray:
     """Low-rank part of the profile matrix of series ``x`` by alternating projections.
 
-    From the rows' medians on, readings that deviate are held out as sparse and filled from the current
-    low-rank part, and the rest is projected on ``rank`` principal components; a held-out reading
-    returns once the low-rank part explains it, so no deviation can shape the components by itself.
+    Short deviations are held out as sparse and filled from the current low-rank part, the rest is projected
+    on the principal components that stand out of the noise (singular values above those of a noise matrix
+    of this scatter), so lasting levels, trends and profiles belong to the low-rank part and no spike shapes
+    it. A held-out reading returns once the components explain it. The last row overlaps the one before
+    where the readings do not fill it. ``daily`` rows start from the median profile of the days.
     """
     n = len(x)
-    rows = -(-n // width)
-    m = np.r_[x, np.repeat(np.median(x[-width:]), rows * width - n)].reshape(rows, width)
-    base = np.broadcast_to(np.median(m, axis=1)[:, None], m.shape).copy()
-    scale = scale or float(np.median(np.abs(m - base))) or 1.0
+    width = max(1, min(width, n // 3))
+    start = np.arange(0, n - width + 1, width)
+    at = (start if start[-1] + width == n else np.r_[start, n - width])[:, None] + np.arange(width)
+    base = running_median(x)
+    if daily:
+        profile = np.median((x - base)[at], axis=0)
+        base[at] = base[at] + profile
+    noise = scale * (np.sqrt(at.shape[0]) + np.sqrt(width))
     for _ in range(rounds):
-        sparse = np.abs(m - base) > CANDIDATE * scale
-        filled = np.where(sparse, base, m)
+        filled = np.where(short_deviations((x - base) / scale, CANDIDATE), base, x)[at]
         mean = filled.mean(axis=0)
         u, s, v = np.linalg.svd(filled - mean, full_matrices=False)
-        r = min(rank, len(s))
-        base = mean + (u[:, :r] * s[:r]) @ v[:r]
-    return base.ravel()[:n]
+        r = int((s > noise).sum())
+        base = np.empty(n)
+        base[at] = mean + (u[:, :r] * s[:r]) @ v[:r]
+    return base
 
 
 def side_levels(x: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +116,12 @@ def _off_both(x: np.ndarray, limit: float) -> np.ndarray:
     return both | only_after | only_before
 
 
-def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
-    yield from zip(edge[::2], edge[1::2])
-
-
-def spikes(x: np.ndarray, scale: float) -> np.ndarray:
+def spikes(x: np.ndarray, scale: float, width: int = PROFILE, daily: bool = False) -> np.ndarray:
     """Mask of spikes in a series of finite positive readings."""
     if len(x) < 3 or not scale > 0:
         return np.zeros(len(x), bool)
-    candidate = np.abs(x - low_rank(x, scale)) > CANDIDATE * scale
-    hit = candidate & _off_both(x, LIMIT * scale)
-    for a, b in _runs(hit):
-        if b - a > LONGEST:
-            hit[a:b] = False
-    return hit
+    sparse = short_deviations((x - low_rank(x, scale, width, daily=daily)) / scale, LIMIT)
+    return sparse & _off_both(x, LIMIT / 2 * scale) if sparse.any() else sparse
 
 
 def stuck(x: np.ndarray, least: int = STUCK) -> np.ndarray:
@@ -119,15 +140,26 @@ def wrong_steps(x: np.ndarray, far: float = FAR_STEP) -> np.ndarray:
     return (x < 0) | ~np.isnan(clean) & _off_both(clean, far)
 
 
+def _profiled(rows: DataFrame) -> DataFrame:
+    """Rows with ``width``, the readings of a profile row, and ``daily``, whether that is a day."""
+    t = F.unix_micros(F.col("logged_at").cast("timestamp")) / 8.64e10
+    of = rows.groupBy(F.col("run_id").alias("__r")).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("days"))
+    a_day = F.round(F.try_divide(F.col("n").cast("double"), F.col("days"))).cast("int")
+    daily = F.coalesce((F.col("days") >= DAYS) & a_day.between(LEAST_DAILY, MOST_DAILY), F.lit(False))
+    of = of.select("__r", daily.alias("daily"), F.when(daily, a_day).otherwise(PROFILE).alias("width"))
+    return rows.join(of, rows["run_id"].eqNullSafe(F.col("__r")), "left").drop("__r", "logged_at")
+
+
 def _blocks(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows with their block, those in a margin also in the neighbouring block (``core`` false)."""
-    own = F.floor(F.col("idx") / BLOCK)
-    at = F.col("idx") % BLOCK
+    size = F.greatest(F.lit(BLOCK), F.col("width") * DAYS_A_BLOCK)
+    own = F.floor(F.col("idx") / size)
+    at = F.col("idx") % size
     near = F.array_compact(
-        F.array(own, F.when((at < MARGIN) & (own > 0), own - 1), F.when(at >= BLOCK - MARGIN, own + 1))
+        F.array(own, F.when((at < MARGIN) & (own > 0), own - 1), F.when(at >= size - MARGIN, own + 1))
     )
     return rows.withColumn("own", own).withColumn("block", F.explode(near)).select(
-        "run_id", "block", (F.col("block") == F.col("own")).alias("core"), "idx", "row_id", *fields
+        "run_id", "block", (F.col("block") == F.col("own")).alias("core"), "idx", "row_id", "width", "daily", *fields
     )
 
 
@@ -149,9 +181,9 @@ def found(metrics: DataFrame, fields: tuple[str, ...] = ("loss", "tokens_per_sec
     rows = metrics.select("run_id", "segment", "logged_at", "row_id", *cols).dropDuplicates(["run_id", "segment", "logged_at", "row_id", counter])
     # null and NaN readings look alike to pandas: nulls are marked before
     rows = rows.select("*", *[F.col(c).isNull().alias(f"{c}_null") for c in cols])
-    rows = rank_in_group(rows, "run_id", ["segment", "logged_at", "row_id"]).drop("segment", "logged_at")
+    rows = rank_in_group(rows, "run_id", ["segment", "logged_at", "row_id"]).drop("segment")
     kept = [*cols, *(f"{c}_null" for c in cols)]
-    blocks = materialize(_blocks(rows, kept), "blocks")
+    blocks = materialize(_blocks(_profiled(rows), kept), "blocks")
 
     def moves(g: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -183,7 +215,7 @@ def found(metrics: DataFrame, fields: tuple[str, ...] = ("loss", "tokens_per_sec
                 bad = ~ok & ~null
                 scale = float(b[f"{f}_scale"].iloc[0])
                 part = np.flatnonzero(ok)
-                hit = spikes(v[ok], scale)
+                hit = spikes(v[ok], scale, int(b["width"].iloc[0]), bool(b["daily"].iloc[0]))
                 # rows in sequence: a null or impossible reading between does not end a sequence of spikes
                 bad[part[hit]] = True
                 there = np.flatnonzero(~null)

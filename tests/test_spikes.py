@@ -1,6 +1,8 @@
 import math
+import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from corvane.operators import spikes
@@ -75,3 +77,47 @@ def test_nulls_everywhere_and_extra_columns(spark):
 def test_stuck_needs_eight():
     assert not spikes.stuck(np.array([1.0] * 7 + [2.0])).any()
     assert spikes.stuck(np.array([0.0] + [1.0] * 8)).sum() == 8
+
+
+def test_components_decide(monkeypatch):
+    """Readings that leave the levels on both sides, but not the normal behaviour, are no spikes."""
+    rng = np.random.default_rng(4)
+    days = np.tile(np.r_[np.zeros(20), [-12.0] * 3, [0.0]], 30)
+    x = 100 + days + rng.standard_normal(len(days))
+    x[331] += 30
+    hit = spikes.spikes(x, 1.0, 24, daily=True)
+    assert np.flatnonzero(hit).tolist() == [331]
+    monkeypatch.setattr(spikes, "low_rank", lambda x, *a, **k: np.full(len(x), np.median(x)))
+    assert spikes.spikes(x, 1.0, 24, daily=True).sum() > 60
+
+
+def test_without_components_other_rows(monkeypatch):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    m = pd.read_parquet(f"{folder}/metrics.parquet").drop_duplicates("row_id").sort_values(["run_id", "segment", "logged_at", "row_id"])
+    series = [v[np.isfinite(v) & (v > 0)] for _, g in m.groupby("run_id") for v in (g["loss"].to_numpy(float), g["tokens_per_sec"].to_numpy(float))]
+    scale = [float(np.median(d[d > 0])) / 0.9539 for d in (np.abs(np.diff(v)) for v in series)]
+    total = lambda: sum(int(spikes.spikes(v, s).sum()) for v, s in zip(series, scale))
+    real = total()
+    monkeypatch.setattr(spikes, "short_deviations", lambda d, *a: np.ones(len(d), bool))
+    assert total() > real > 0
+
+
+def test_step_in_a_row_and_neighbours_of_a_spike():
+    rng = np.random.default_rng(5)
+    x = 100 + rng.standard_normal(700)
+    x[333:] += 40
+    x[500:505] -= 50
+    x[499] = x[505] = 143.5
+    assert np.flatnonzero(spikes.spikes(x, 1.0)).tolist() == [500, 501, 502, 503, 504]
+
+
+def test_daily_rows_in_the_table(spark):
+    from datetime import datetime, timedelta
+
+    days = np.tile(np.r_[np.zeros(20), [-30.0] * 3, [0.0]], 40)
+    x = 100 + days + np.random.default_rng(6).standard_normal(len(days))
+    x[400] += 40
+    rows = [(i, "d", 0, i, 2.0 + 0.02 * math.sin(i * 7.1), float(v), datetime(2026, 1, 1) + timedelta(hours=i)) for i, v in enumerate(x)]
+    assert found(spark.createDataFrame(rows, SCHEMA)) == {(400, "tokens_per_sec")}
