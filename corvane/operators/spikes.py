@@ -65,10 +65,14 @@ def low_rank(x: np.ndarray, scale: float, width: int = PROFILE, rounds: int = RO
     on the principal components that stand out of the noise (singular values above those of a noise matrix
     of this scatter), so lasting levels, trends and profiles belong to the low-rank part and no spike shapes
     it. A held-out reading returns once the components explain it. The last row overlaps the one before
-    where the readings do not fill it. ``daily`` rows start from the median profile of the days.
+    where the readings do not fill it; a day that is not full goes on like the day before. ``daily`` rows
+    start from the median profile of the days.
     """
+    given = len(x)
+    width = max(1, min(width, given // 3))
+    if daily:
+        x = np.r_[x, x[given - width : given - width + -given % width]]
     n = len(x)
-    width = max(1, min(width, n // 3))
     start = np.arange(0, n - width + 1, width)
     at = (start if start[-1] + width == n else np.r_[start, n - width])[:, None] + np.arange(width)
     base = running_median(x)
@@ -83,7 +87,7 @@ def low_rank(x: np.ndarray, scale: float, width: int = PROFILE, rounds: int = RO
         r = int((s > noise).sum())
         base = np.empty(n)
         base[at] = mean + (u[:, :r] * s[:r]) @ v[:r]
-    return base
+    return base[:given]
 
 
 def side_levels(x: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
