@@ -1,13 +1,15 @@
 """Rebuilding conversations from message rows.
 
-Rows of a session become nodes of a reply graph: a message replies to the messages of the sequence
-number before it. Kahn's algorithm orders the graph, taking the earliest timestamp among the ready
-nodes; nodes left over lie on a cycle. The order is then checked for a user's opening, answers to
-every user message, matched tool calls, doubled and missing numbers.
+The rows of a session, as they arrived, are the nodes of a reply graph: a numbered message replies to the
+messages of the number before it, and different spoken messages that claim one number must each follow the
+others, which is a cycle. Kahn's algorithm orders the graph, taking the earliest timestamp among the ready
+nodes (in sessions without numbers all nodes are ready, so time orders them); nodes left over lie on or
+behind a cycle and break the session. Opening, answers, tool calls and gaps are checked in Kahn's order,
+and the order of the rebuilt conversations is Kahn's.
 
-A session is processed in chunks of bounded size. A chunk is summed up as a transition (what it needs
-of the state before it, what it leaves behind), so a session of any length is checked exactly
-without one task holding it.
+A session of more than ``CHUNK`` messages is split into ranges of its numbers or times, each with a graph of
+its own. A chunk is summed up as a transition (what it needs of the state before it, what it leaves behind),
+so a session of any length is checked exactly without one task holding it.
 
 Defined cases: rows without ``source_session`` are ignored; blank means null or white space of any
 kind, invisible characters included; roles are compared without case and blanks, with the spellings in
@@ -23,10 +25,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.plans.grouped import sorted_group_map
+from corvane.plans.materialize import is_empty, materialize
 from corvane.plans.ranking import rank_in_group
 
 CHUNK = 4096
@@ -64,22 +67,30 @@ def kahn(parents: Sequence[Sequence[int]], keys: Sequence) -> list[int]:
     return out
 
 
-def reply_order(seq: Sequence[float], ts: Sequence, ids: Sequence) -> list[int]:
+def reply_order(seq: Sequence[float], ts: Sequence, ids: Sequence, spoken: Sequence[bool] | None = None) -> list[int]:
     """Positions in reply order: numbered messages reply to the number before, others follow by time.
 
+    Spoken messages of one number follow each other in a ring, so they and all behind them are left out.
     One barrier node a number keeps the graph linear where many messages share a number.
     """
     n = len(ts)
     levels = sorted({s for s in seq if s == s})
     at = {s: n + i for i, s in enumerate(levels)}
     parents: list[list[int]] = [[] for _ in range(n + len(levels))]
+    ring: dict[float, list[int]] = {}
     for i, s in enumerate(seq):
         if s == s:
             if (k := at[s]) > n:
                 parents[i].append(k - 1)
             parents[k].append(i)
+            if spoken is not None and spoken[i]:
+                ring.setdefault(s, []).append(i)
         elif levels:
             parents[i].append(n + len(levels) - 1)
+    for same in ring.values():
+        if len(same) > 1:
+            for a, b in zip(same, [*same[1:], same[0]]):
+                parents[b].append(a)
     big = (1, 0)
     keys = [((1, 0) if t is None or t != t else (0, t), m) for t, m in zip(ts, ids)] + [(big, 0)] * len(levels)
     return [i for i in kahn(parents, keys) if i < n]
@@ -108,25 +119,36 @@ def clean(rows: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def chunked(rows: DataFrame, keep: bool = False, chunk: int = CHUNK) -> DataFrame:
-    c = clean(rows, keep).withColumns({"no_seq": F.col("seq").isNull(), "no_at": F.col("at").isNull()})
-    ranked = rank_in_group(c, "source_session", ["no_seq", "seq", "no_at", "at", "msg_id"], "idx")
-    return ranked.withColumn("chunk", (F.col("idx") / chunk).cast("long")).drop("no_seq", "no_at")
+    """Clean messages with their ``chunk``: 0, or the range of its numbers or times in a session beyond ``chunk`` messages."""
+    c = materialize(clean(rows, keep), "messages")
+    large = c.groupBy("source_session").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("source_session")
+    long = c.join(large, "source_session", "left_semi")
+    if is_empty(long):
+        return c.withColumn("chunk", F.lit(0).cast("long"))
+    ranked = rank_in_group(long.withColumns({"no_seq": F.col("seq").isNull(), "no_at": F.col("at").isNull()}), "source_session", ["no_seq", "seq", "no_at", "at", "msg_id"], "idx")
+    split = ranked.withColumn("chunk", F.floor(F.col("idx") / chunk).cast("long")).select(*c.columns, "chunk")
+    return c.join(large, "source_session", "left_anti").withColumn("chunk", F.lit(0).cast("long")).unionByName(split)
 
 
 _SUMMARY = (
     "source_session string, chunk long, bad boolean, user_text boolean, asst_text boolean, first_role string,"
-    " meets string, pending boolean, tool_needs string, tool_open boolean, lo long, hi long, lo_spoken long, hi_spoken long"
+    " meets string, pending boolean, tool_needs string, tool_open boolean, lo long, hi long, lo_spoken long, hi_spoken long, spoken long"
 )
 
 
+def _order(rows: list[tuple]) -> list[int]:
+    return reply_order([r[0] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[1] != "system" for r in rows])
+
+
 def _summary(rows: list[tuple]) -> tuple:
-    """Of (seq, role, kind, at, msg_id, blank) tuples in order."""
-    order = reply_order([r[0] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
+    """Of (seq, role, kind, at, msg_id, blank) tuples in any order."""
+    order = _order(rows)
     bad = len(order) < len(rows)
     user_text = asst_text = False
     first_role = meets = tool_needs = None
     pending = tool_open = None
     lo = hi = lo_spoken = hi_spoken = None
+    spoken = 0
     for i in order:
         seq, role, kind, _, _, blank = rows[i]
         numbered = seq == seq
@@ -135,8 +157,8 @@ def _summary(rows: list[tuple]) -> tuple:
             lo, hi = seq if lo is None else lo, seq
         if role == "system":
             continue
+        spoken += 1
         if numbered:
-            bad |= hi_spoken is not None and seq == hi_spoken
             lo_spoken, hi_spoken = seq if lo_spoken is None else lo_spoken, seq
         first_role = first_role or role
         if role == "user":
@@ -160,7 +182,7 @@ def _summary(rows: list[tuple]) -> tuple:
                 tool_needs = tool_needs or "open"
             bad |= tool_open is False
             tool_open = False
-    return bad, user_text, asst_text, first_role, meets, pending, tool_needs, tool_open, lo, hi, lo_spoken, hi_spoken
+    return bad, user_text, asst_text, first_role, meets, pending, tool_needs, tool_open, lo, hi, lo_spoken, hi_spoken, spoken
 
 
 def _each_group(g: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, slice]]:
@@ -172,10 +194,15 @@ def _each_group(g: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, slice
         yield tuple(c[a] for c in k), slice(a, b)
 
 
-def _summaries(g: pd.DataFrame) -> pd.DataFrame:
+def _columns(g: pd.DataFrame) -> list[list]:
     cols = [g[c].tolist() for c in ("seq", "role", "kind", "at", "msg_id", "blank")]
     cols[0] = [float("nan") if x is None or x != x else int(x) for x in cols[0]]
     cols[3] = [None if x is None or x != x else x for x in cols[3]]
+    return cols
+
+
+def _summaries(g: pd.DataFrame) -> pd.DataFrame:
+    cols = _columns(g)
     names = [x.split()[0] for x in _SUMMARY.split(",")]
     out = [(s, c, *_summary(list(zip(*(x[sl] for x in cols))))) for (s, c), sl in _each_group(g, ["source_session", "chunk"])]
     df = pd.DataFrame(out, columns=names)
@@ -188,7 +215,7 @@ def verdict(chunks: Sequence[tuple]) -> bool:
     """Whether a session is broken, from the summaries of its chunks in order."""
     user_text = asst_text = pending = tool_open = False
     first_role = hi = hi_spoken = None
-    for bad, ut, at, first, meets, after, needs, opened, lo, h, lo_s, hi_s in chunks:
+    for bad, ut, at, first, meets, after, needs, opened, lo, h, lo_s, hi_s, _ in chunks:
         if bad or pending and meets == "ask" or needs == "closed" and tool_open or needs == "open" and not tool_open:
             return True
         if hi is not None and lo is not None and lo - hi > 1 or hi_spoken is not None and lo_s is not None and lo_s == hi_spoken:
@@ -209,27 +236,44 @@ def _verdicts(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source_session", "broken"])
 
 
-def session_verdicts(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(source_session, broken) for every session."""
-    return _judge(chunked(rows, chunk=chunk))
+def _summed(parts: DataFrame) -> DataFrame:
+    slim = parts.select("source_session", "chunk", "seq", "role", "kind", "at", "msg_id", "blank")
+    return sorted_group_map(slim, ["source_session", "chunk"], ["msg_id"], _summaries, _SUMMARY)
 
 
-def _judge(parts: DataFrame) -> DataFrame:
-    slim = parts.select("source_session", "chunk", "idx", "seq", "role", "kind", "at", "msg_id", "blank")
-    summed = sorted_group_map(slim, ["source_session", "chunk"], ["idx"], _summaries, _SUMMARY)
+def _judge(summed: DataFrame) -> DataFrame:
     return sorted_group_map(summed, ["source_session"], ["chunk"], _verdicts, "source_session string, broken boolean")
 
 
+def session_verdicts(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(source_session, broken) for every session."""
+    return _judge(_summed(chunked(rows, chunk=chunk)))
+
+
 def dropped(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(source_session): the sessions to leave out."""
     return session_verdicts(rows, chunk).where("broken").select("source_session")
 
 
+def _placed(g: pd.DataFrame) -> pd.DataFrame:
+    """Spoken messages of whole chunks in Kahn's order, with their turn number in the session."""
+    cols, role = _columns(g), g["role"].to_numpy()
+    rows, turn = [], []
+    for _, sl in _each_group(g, ["source_session", "chunk"]):
+        said = [sl.start + i for i in _order(list(zip(*(x[sl] for x in cols)))) if role[sl.start + i] != "system"]
+        rows += said
+        turn += range(len(said))
+    out = g.iloc[rows]
+    return out[["source_session", "role", "kind", "content"]].assign(turn_no=out["before"] + np.array(turn, np.int64))[["source_session", "turn_no", "role", "kind", "content"]]
+
+
 def rebuilt(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(source_session, turn_no, role, kind, content): the whole sessions, each message once, in order."""
-    parts = chunked(rows, keep=True, chunk=chunk)
-    whole = _judge(parts).where("NOT broken")
-    said = parts.where("role <> 'system'").join(whole, "source_session", "left_semi")
-    # rank among spoken messages: position minus system messages before it, from the numbering of the written table
-    spoken = rank_in_group(said.drop("idx", "chunk").withColumns({"no_seq": F.col("seq").isNull(), "no_at": F.col("at").isNull()}), "source_session", ["no_seq", "seq", "no_at", "at", "msg_id"], "turn_no")
-    return spoken.select("source_session", "turn_no", "role", "kind", "content")
+    parts = materialize(chunked(rows, keep=True, chunk=chunk), "chunks")
+    summed = materialize(_summed(parts), "summaries")
+    # spoken messages of the chunks before; a session has one row a chunk here
+    w = Window.partitionBy("source_session").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = summed.select("source_session", "chunk", F.coalesce(F.sum("spoken").over(w), F.lit(0)).alias("before"))
+    whole = before.join(_judge(summed).where("NOT broken"), "source_session", "left_semi")
+    said = parts.join(whole, ["source_session", "chunk"])
+    return sorted_group_map(said, ["source_session", "chunk"], ["msg_id"], _placed, "source_session string, turn_no long, role string, kind string, content string")

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from corvane.llm import conversations as c
@@ -67,3 +68,33 @@ def test_kahn():
     assert c.kahn([[], [0], [0], [1, 2]], [0, 5, 1, 0]) == [0, 2, 1, 3]
     assert c.kahn([[1], [0], []], [0, 0, 0]) == [2] and c.kahn([], []) == []
     assert c.reply_order([1, 0, float("nan"), 1], [3, 9, 0, 1], [1, 2, 3, 4]) == [1, 3, 0, 2]
+
+
+def test_kahn_orders_and_finds_cycles():
+    nan = float("nan")
+    assert c.reply_order([2, 0, 1], [1, 2, 3], [1, 2, 3], [True] * 3) == [1, 2, 0]
+    assert c.reply_order([0, 1, 1, 2], [1, 2, 3, 4], [1, 2, 3, 4], [True] * 4) == [0]
+    assert c.reply_order([0, 1, 1, 2], [1, 2, 3, 4], [1, 2, 3, 4], [True, True, False, True]) == [0, 1, 2, 3]
+    assert c.reply_order([nan] * 3, [3, None, 1], [1, 2, 3], [True] * 3) == [2, 0, 1]
+
+
+def test_without_kahn_other_rows(monkeypatch):
+    """The rows are handed over as they arrived; the graph alone orders them and finds doubled numbers."""
+    m = [(2, *U, "q2"), (3, *A, "a2"), (0, *U, "q1"), (1, *A, "a1")]
+    g = pd.DataFrame([("s", 0, q, r, k, i, i, False, t, 0) for i, (q, r, k, t) in enumerate(m)], columns=["source_session", "chunk", "seq", "role", "kind", "at", "msg_id", "blank", "content", "before"])
+    doubled = [(0, "user", "text", 0, 0, False), (1, "assistant", "text", 1, 1, False), (1, "assistant", "note", 2, 2, False)]
+    assert c._placed(g)["content"].tolist() == ["q1", "a1", "q2", "a2"] and c._summary(doubled)[0]
+    monkeypatch.setattr(c, "kahn", lambda parents, keys: list(range(len(keys))))
+    assert c._placed(g)["content"].tolist() != ["q1", "a1", "q2", "a2"] and not c._summary(doubled)[0]
+
+
+@pytest.mark.parametrize("chunk", [2, 4096])
+def test_arrival_order_does_not_matter(spark, chunk):
+    rng = random.Random(8)
+    data = []
+    for s in range(12):
+        m = msgs(U, A, U, C, R, A)
+        rng.shuffle(m)
+        data += rows(f"s{s}", m, s * 50)
+    df = spark.createDataFrame(data, SCHEMA)
+    assert {(r[0], r[1], r[4]) for r in c.rebuilt(df, chunk).collect()} == {(f"s{s}", i, f"hi {i}") for s in range(12) for i in range(6)}
