@@ -1,13 +1,14 @@
 """Defective prompt and answer pairs.
 
-A suffix automaton over the prompt's words is traversed with the answer's words; the share of the
-answer covered by long matches tells copies. An Aho-Corasick automaton over refusal phrases marks
-declining sentences, a delimiter stack finds open fences, brackets and strings, and stopword votes
-name the languages.
+A suffix automaton over the prompt's words is traversed with the answer's words; the share of the answer
+covered by copied runs tells copies. Refusals are told by a finite automaton over word classes (self,
+negation, modal, act, decline, rule, bound): every sentence must decline or be courtesy. A delimiter stack
+finds open fences, brackets and strings, and stopword votes name the languages.
 
 Defined cases: a null, blank or missing answer is ``empty``; a null or blank prompt can give neither
-``copied`` nor ``wrong_language``; repeated rows change nothing (the least and greatest ``turn_no``
-decide, ties by ``turn_id``); texts are read whole; other columns are ignored.
+``copied`` nor ``wrong_language``; an answer of fewer words than ``MIN_MATCH`` is a copy only of a prompt of
+the same words; repeated rows change nothing (the least and greatest ``turn_no`` decide, ties by
+``turn_id``); texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from corvane.llm.minwise import words
 
 DEFECTS = ("empty", "copied", "refusal", "wrong_language", "truncated")
-#: Shortest match, in words, that counts as copied; most other words a copy may hold besides its opening.
-MIN_MATCH, OPENING, LOOSE, LOOSE_SHARE = 2, 8, 4, 0.12
+#: Shortest run of the prompt, in words, that counts as copied; most words of an opening; most other words.
+MIN_MATCH, OPENING, LOOSE, LOOSE_SHARE = 4, 8, 4, 0.12
 
 # --- prompt suffix automaton --------------------------------------------------------------------
 
@@ -90,68 +91,111 @@ def _forms(text: str) -> Iterator[list[str]]:
 
 
 def is_copy(prompt: str, answer: str) -> bool:
-    """Whether the answer holds nothing but the prompt's words, apart from an opening and a few words."""
+    """Whether the answer holds nothing but runs of the prompt, apart from an opening and a few words."""
     for p, a in zip(_forms(prompt), _forms(answer)):
-        if len(a) < 5 or not p:
+        if not a or not p:
             continue
+        if len(a) < MIN_MATCH:
+            if a == p:
+                return True
+            continue
+        few = max(min(LOOSE, len(a) // 4), LOOSE_SHARE * len(a))
         known = set(p)
-        if sum(w in known for w in a) < 0.6 * len(a):
+        # fewer words outside the prompt than this can never be covered
+        if sum(w not in known for w in a) > OPENING + few:
             continue
-        marks = SuffixAutomaton(p).covered(a, MIN_MATCH)
+        marks = SuffixAutomaton(p).covered(a, min(MIN_MATCH, len(p)))
         first = next((i for i, m in enumerate(marks) if m), len(marks))
-        loose = sum(not m for m in marks[first:])
-        if first <= OPENING and first < len(a) / 2 and loose <= max(LOOSE, LOOSE_SHARE * len(a)):
+        if first <= OPENING and first < len(a) / 2 and sum(not m for m in marks[first:]) <= few:
             return True
     return False
 
 
 # --- refusals -----------------------------------------------------------------------------------
 
-REFUSAL = """i can't|i cannot|i can not|i am not able to|i'm not able to|i am unable to|i'm unable to|i won't be able to|i will not be able to|
-i must refuse|i have to refuse|i must decline|i have to decline|i decline|i refuse|i'd rather not|i would rather not|it would not be appropriate|
-it wouldn't be appropriate|keep me from|no way to act on|go against the policy|goes against the policy|against my guidelines|against my rules|
-against the rules i|not something i can|no answer can be given|i am not allowed|i'm not allowed|i am not permitted|outside what i|beyond what i am allowed|
-i prefer not to|off limits|out of bounds for|out of scope for me|i will not|i won't|cannot help with|can't help with|not able to help|unable to assist|as a language model i|as an ai|has to be declined|
-я не могу|я не смогу|не вправе|нет права|вынужден отказать|вынуждена отказать|вынужден отклонить|должен отказать|мне нельзя|мне запрещено|
-не дают мне|не позволяют мне|не позволено|выходит за рамки допустимого|противоречит моим правилам|ничего не предприму|я отказываюсь|не имею права|
-предпочту за это не браться|не стану|не буду этого делать|отказываюсь|не берусь|под запретом|вне моих полномочий|не положено мне|мне не положено|недоступно для меня|закрыт для помощника|закрыта для помощника|ответить на такое|помочь с этим не|дать ответ на это не|запрещают мне|
-ich kann nicht|ich kann ihnen|ich kann dabei nicht|das kann ich nicht|ich darf nicht|das darf ich nicht|muss ich ablehnen|ich lehne|leider nicht möglich|
-kann ich leider nicht|bin nicht in der lage|gegen meine richtlinien|ist mir nicht erlaubt|nicht gestattet|ich werde nicht"""
+#: Word classes of declining sentences, by stem; a stem ends in * where more may follow.
+CLASSES = {
+    "S": "i me my myself mine we us our im ill id ive assistant* model ai я мне меня мной мой моя моё моим моих моими мою мы нам нас наш* помощник* ассистент* модель ich mir mich mein* wir uns unser*",
+    "N": "not no cannot cant wont couldnt mustnt shouldnt wouldnt dont neither never nothing none unable не нет ни нельзя ничего ничем никак нельзя nicht kein* nichts nie niemals ohne",
+    "M": "вынужден* have has нельзя way chance ability can cant cannot could couldnt may might able will wont would wouldnt shall should shouldnt must mustnt unable willing comfortable allowed permitted free going prefer rather supposed дают даёт даст дадут позвол* разреш* положено полагается дозвол* могу можем мог смогу сможем буду будем стану станем способ* готов* вправе имею право права предпоч* возможн* kann können könnte darf dürfen werde werden möchte* in erlaubt gestattet befugt bereit möglich",
+    "A": "help* assist* answer* comply do doing fulfil* provid* carry carried take taken undertake act acting action proceed support* respond* discuss* share perform* continue* engage* process* handle execut* offer* give given oblige go помо* ответ* отвеч* сдела* дела* выполн* исполн* обсу* предостав* предпри* да* да́ть брать* взять* браться заним* занять* содейств* обработ* продолж* выда* сообщ* helfen helf* hilfe beantwort* antwort* tun machen ausführ* unterstütz* bereitstell* übernehm* liefern dienen weiterhelf*",
+    "K": "keep* prevent* stop* hinder* forbid*",
+    "D": "declin* refus* reject* forbid* forbad* forbidden prohibit* disallow* barred abstain* refrain* отказ* отклон* запрещ* запрет* воздерж* отверг* ablehn* lehne verweiger* untersag* verboten verwehrt ab",
+    "G": "against violat* contraven* breach* contrary conflict* против* наруш* gegen verstö* verstoß* widersp*",
+    "R": "policy policies rule* guideline* principle* instruction* terms standards правил* политик* принцип* инструкц* огранич* услов* richtlinie* regel* vorgab* grundsätz* vorschrift*",
+    "O": "outside beyond out off вне предел* рамки рамок за außerhalb jenseits über",
+    "B": "scope remit limits bounds mandate purview what responsib* permission* рамки рамок допуст* пределы пределов полномоч* компетенц* дозволен* доступн* недоступ* закрыт* zuständigkeit* rahmen grenze* befugnis* möglichkeiten",
+}
+#: A self that is not able or willing to act; declining; acting against rules; lying outside bounds.
+DECLINES = r"N.{0,1}S.{0,1}M.{0,2}A|S.{0,4}M.{0,2}N.{0,6}A|S.{0,4}N.{0,2}M.{0,6}A|A.{0,4}S.{0,3}N.{0,1}M|A.{0,4}S.{0,3}M.{0,1}N|N.{0,3}A.{0,3}M|S.{0,5}M.{0,2}N.{0,8}$|D.{0,8}S|S.{0,8}D|M.{0,3}D|N.{0,2}M.{0,3}S|S.{0,3}N.{0,1}M|G.{0,4}R|O.{0,4}B|B.{0,4}S|S.{0,3}NN.{0,1}A|M.{0,1}N.{0,4}S|R.{0,3}K.{0,1}S|R.{0,3}S.{0,4}N.{0,2}[MA]|R.{0,3}N.{0,2}[MA]|D.{0,4}R"
+
+
+class DeclineAutomaton:
+    """Classes of the words of a sentence, run through the automaton of ``DECLINES``."""
+
+    def __init__(self) -> None:
+        self.whole: dict[str, str] = {}
+        self.stems = ahocorasick.Automaton()
+        for k, names in CLASSES.items():
+            for n in names.split():
+                if n.endswith("*"):
+                    self.stems.add_word(" " + n[:-1], k)
+                else:
+                    self.whole[n] = self.whole.get(n, "") + k
+        self.stems.make_automaton()
+        self.declines = re.compile(DECLINES)
+        self.known: dict[str, str] = {}
+
+    def classes(self, word: str) -> str:
+        if word not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[word] = "".join(dict.fromkeys(self.whole.get(word, "") + "".join(k for _, k in self.stems.iter(" " + word)))) or "."
+        return self.known[word]
+
+    def declines_in(self, ws: list[str]) -> bool:
+        return self.declines.search("".join(map(self.classes, ws))) is not None
+
+
 CLOSING = """i hope you understand|human operator should|is there anything else|anything else you need|what i can offer|general advice|other topics|
 please contact|please consult|sorry for|i apologize|apologies|i'm sorry|thank you for|thanks for|i appreciate|feel free|let me know|
 надеюсь на понимание|чем-то ещё|чем-то еще|обратитесь к|займётся оператор|займется оператор|к оператору|к специалисту|могу предложить|общий совет|общие советы|другие темы|другую тему|прошу прощения|извините|к сожалению|спасибо за|
 приношу извинения|сожалею|понимаю задачу|tut mir leid|entschuldig|bitte wenden|ich bitte um verständnis|kann ich sonst|gern helfe ich|leider"""
 
 
-def _automaton(phrases: str) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for p in phrases.replace("\n", "").split("|"):
-        a.add_word(p, p)
-    a.make_automaton()
-    return a
-
-
-_AUTO: dict[str, ahocorasick.Automaton] = {}
+_AUTO: dict[str, ahocorasick.Automaton | DeclineAutomaton] = {}
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+_CONTRACTED = re.compile(r"(?<=\w)'(?=\w)")
 
 
-def _hits(text: str, kind: str) -> bool:
+def _automata() -> tuple[DeclineAutomaton, ahocorasick.Automaton]:
     if not _AUTO:
-        _AUTO.update(r=_automaton(REFUSAL), c=_automaton(CLOSING))
-    return next(_AUTO[kind].iter(text), None) is not None
+        closing = ahocorasick.Automaton()
+        for p in CLOSING.replace("\n", "").split("|"):
+            closing.add_word(p, p)
+        closing.make_automaton()
+        _AUTO.update(r=DeclineAutomaton(), c=closing)
+    return _AUTO["r"], _AUTO["c"]
 
 
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+def declines(sentence: str) -> bool:
+    return _automata()[0].declines_in(words(_CONTRACTED.sub("", sentence.lower().replace("’", "'"))))
 
 
 def is_refusal(answer: str) -> bool:
     """Whether every sentence declines or is mere courtesy, and at least one declines."""
-    low = answer.lower().replace("’", "'")
-    if "```" in low or not _hits(low, "r"):
-        return False
-    parts = [p for p in _SENTENCE.split(low) if words(p)]
-    kinds = ["r" if _hits(p, "r") else "c" if _hits(p, "c") else "o" for p in parts]
-    other = sum(len(words(p)) for p, k in zip(parts, kinds) if k == "o")
-    return "r" in kinds and len(words(low)) <= 80 and other <= 4
+    other, declined = 0, False
+    for part in _SENTENCE.split(answer.lower().replace("’", "'")):
+        ws = words(_CONTRACTED.sub("", part))
+        if not ws:
+            continue
+        if _automata()[0].declines_in(ws):
+            declined = True
+        elif next(_automata()[1].iter(part), None) is None:
+            other += len(ws)
+            if other > LOOSE:
+                return False
+    return declined
 
 
 # --- languages ----------------------------------------------------------------------------------

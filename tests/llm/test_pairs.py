@@ -48,3 +48,34 @@ def test_operator(spark):
     df = spark.createDataFrame(rows + rows, schema)
     assert sorted(tuple(r) for r in pairs.defects(df).collect()) == [("e", "empty"), ("g", "empty")]
     assert pairs.defects(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_no_size_decides():
+    declining = " ".join(["I cannot help with this request, whatever the reason behind the question may be."] * 14)
+    assert len(declining.split()) > 160 and pairs.is_refusal(declining)
+    assert pairs.defect("Why? Please restart the worker now. It hangs.", "restart the worker now") == "copied"
+    assert pairs.defect("yes or no", "yes") is None and pairs.defect("restart now", "Restart now.") == "copied"
+    assert pairs.is_refusal("I can't help with this.\n```\n```") and not pairs.is_refusal("I can't open it.\n```\nshard = read(path, index, rows)\n```")
+
+
+@pytest.mark.parametrize("text", ["That falls outside my remit, so I shall decline.", "We are unable to comply with this.", "I'm afraid I must pass; it would violate the rules set for me.", "My instructions prevent me from answering.", "There is nothing I can do about this.",
+    "Это вне моей компетенции.", "Увы, мне запрещено это обсуждать.", "Мы не станем выполнять такое.", "Das darf ich nicht beantworten.", "Dabei werde ich nicht helfen."])
+def test_refusals_in_other_words(text):
+    assert pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["Nobody rejected the batch; the gate had already cached it.", "The router declined 41 rows and the reader kept the rest.", "Правило отклонило 4 строки после рестарта.", "Set the cap to 37, keep the rule as it is."])
+def test_reports_of_refusing_things(text):
+    assert not pairs.is_refusal(text)
+
+
+def test_runs_decide_what_is_copied(monkeypatch):
+    """An answer in the prompt's words, but not in its runs, is no copy."""
+    rng = random.Random(3)
+    w = P.rstrip(".").split()
+    other = w[:]
+    rng.shuffle(other)
+    own = " ".join(other) + "."
+    assert pairs.defect(P, P) == "copied" and pairs.defect(P, own) != "copied"
+    monkeypatch.setattr(pairs.SuffixAutomaton, "covered", lambda self, seq, least: [w in self.next[0] for w in seq])
+    assert pairs.defect(P, own) == "copied"
