@@ -25,7 +25,7 @@ from corvane.llm.minwise import words
 
 DEFECTS = ("empty", "copied", "refusal", "wrong_language", "truncated")
 #: Shortest run of the prompt, in words, that counts as copied; most words of an opening; most other words.
-MIN_MATCH, OPENING, LOOSE, LOOSE_SHARE = 4, 8, 4, 0.12
+MIN_MATCH, OPENING, LOOSE, LOOSE_SHARE = 3, 8, 4, 0.12
 
 # --- prompt suffix automaton --------------------------------------------------------------------
 
@@ -127,7 +127,7 @@ CLASSES = {
     "B": "scope remit limits bounds mandate purview what responsib* permission* рамки рамок допуст* пределы пределов полномоч* компетенц* дозволен* доступн* недоступ* закрыт* zuständigkeit* rahmen grenze* befugnis* möglichkeiten",
 }
 #: A self that is not able or willing to act; declining; acting against rules; lying outside bounds.
-DECLINES = r"N.{0,1}S.{0,1}M.{0,2}A|S.{0,4}M.{0,2}N.{0,6}A|S.{0,4}N.{0,2}M.{0,6}A|A.{0,4}S.{0,3}N.{0,1}M|A.{0,4}S.{0,3}M.{0,1}N|N.{0,3}A.{0,3}M|S.{0,5}M.{0,2}N.{0,8}$|D.{0,8}S|S.{0,8}D|M.{0,3}D|N.{0,2}M.{0,3}S|S.{0,3}N.{0,1}M|G.{0,4}R|O.{0,4}B|B.{0,4}S|S.{0,3}NN.{0,1}A|M.{0,1}N.{0,4}S|R.{0,3}K.{0,1}S|R.{0,3}S.{0,4}N.{0,2}[MA]|R.{0,3}N.{0,2}[MA]|D.{0,4}R"
+DECLINES = r"M.{0,2}S.{0,2}N.{0,3}A|N.{0,1}S.{0,1}M.{0,2}A|S.{0,4}M.{0,2}N.{0,6}A|S.{0,4}N.{0,2}M.{0,6}A|A.{0,4}S.{0,3}N.{0,1}M|A.{0,4}S.{0,3}M.{0,1}N|N.{0,3}A.{0,3}M|S.{0,5}M.{0,2}N.{0,8}$|D.{0,8}S|S.{0,8}D|M.{0,3}D|N.{0,2}M.{0,3}S|S.{0,3}N.{0,1}M|G.{0,4}R|O.{0,4}B|B.{0,4}S|S.{0,3}NN.{0,1}A|M.{0,1}N.{0,4}S|R.{0,3}K.{0,1}S|R.{0,3}S.{0,4}N.{0,2}[MA]|R.{0,3}N.{0,2}[MA]|D.{0,4}R"
 
 
 class DeclineAutomaton:
