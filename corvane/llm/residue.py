@@ -1,18 +1,19 @@
 """Template residue, error pages, script notices and filler in place of content.
 
-Documents fall into sections (by headings), sections into passages (sentences and single lines). A
-naive Bayes model with three classes - residue, unfilled template, content - is fitted by
-expectation-maximization from trusted records (``trusted``) and unlabelled passages: trusted passages
-keep their class, the unlabelled ones get posteriors that are refined from round to round. Passages are
-scored and decisions aggregated: a record is out if a passage with an open template field in its prose is
-scored as template, or if every worded passage of a section is residue.
+Documents fall into sections (by headings), sections into passages (sentences and single lines). Two
+positive-unlabelled naive Bayes models are fitted by expectation-maximization: residue against content
+over all passages, and unfilled against meant over the passages that hold something shaped like a template
+field. Each starts from trusted records (error pages and notices that name a status code or scripts,
+repeated filler; passages of nearly nothing but fields, blanks and orders to fill in, against those whose fields all stand in code), gives every unlabelled passage a posterior, and
+re-estimates word weights and the classes' shares from round to round. The models decide: a record is out if a
+passage with a field is scored as unfilled, or if every worded passage of a section is scored as residue.
 
 The fit uses a bounded sample: ``SAMPLE`` documents and ``SAMPLE_TRUSTED`` possible trusted
 ones, drawn by hash. Scoring covers every document whole.
 
 Defined cases: null and blank texts are not residue (there is nothing to exclude); equal texts get equal
-decisions; repeated ``doc_id`` rows count once; without trusted records nothing is residue; other columns
-are ignored.
+decisions; repeated ``doc_id`` rows count once; a class without trusted records is never found; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_TRUSTED = 4000, 6000
-#: Unlabelled passages join the residue only when nearly certain, and with this weight, so that the class
-#: cannot drift away from the trusted records.
-CERTAIN, SHARE = 0.999, 0.3
-#: Greatest weight of a token that a class never showed.
-UNSEEN = -1.0
+#: Greatest weight of a token that a class never showed, and share of a count from which it counts as shown.
+UNSEEN, SHOWN = -1.0, 0.25
 #: Passages of more words than this decide over their section; shorter ones are labels.
 LABEL = 6
-#: Prior log odds that a passage of prose with an open field is an unfilled template.
-FIELD_ODDS = math.log(9999.0)
-ROUNDS, ALPHA, PRIOR = 3, 0.05, {"e": 0.03, "t": 0.02, "n": 0.95}
+#: Rounds, smoothing, and the first shares: of residue in all passages, of unfilled in prose with a field.
+ROUNDS, ALPHA, PRIOR, FIELD_PRIOR = 8, 0.05, 0.03, 0.95
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -80,10 +77,37 @@ _OPENING = re.compile(r"(?<!\w)#[^\W\d_]|\[[^\W\d_]|<[^\W\d_]")
 
 
 def fields(passage: str) -> list[str]:
-    """Open template fields in a passage of prose; code spans are left out."""
+    """What is shaped like a template field, wherever it stands."""
     if "XX" not in passage and not any(c in passage for c in "{[<@#%_«$"):
         return []
-    return [m.group(0) for m in FIELD.finditer(_TICKS.sub(" ", passage))]
+    return [m.group(0) for m in FIELD.finditer(passage)]
+
+
+_NAMED = re.compile(r"\w+")
+
+
+def field_tokens(passage: Passage) -> set[str]:
+    """Marks of the fields of a passage: place, what they open with, and whether there are code spans."""
+    text, out = passage.text, set()
+    ticks = [m.span() for m in _TICKS.finditer(text)] if "`" in text else []
+    for m in FIELD.finditer(text):
+        quoted = any(a < m.start() and m.end() < b for a, b in ticks)
+        out.add("<code>" if not passage.prose else "<tick>" if quoted else "<prose>")
+        out.add("<opens> " + _NAMED.sub("w", m.group(0)[:3]))
+    if ticks:
+        out.add("<ticks>")
+    return out
+
+
+_ORDER = re.compile(r"_{3,}|^\[(?:insert|fill|enter|add|your|tbd|todo|replace|вставь|вставить|заполн|укаж|указать|впиш|введи|hier|bitte)", re.I)
+
+
+def trusted_field(text: str) -> bool:
+    """Whether a passage is hardly more than fields (half of it, or several), or holds a blank or an order to fill it in."""
+    held = fields(text) if "`" not in text else []
+    if any(map(_ORDER.search, held)):
+        return True
+    return len(held) > 1 or 2 * sum(map(len, held)) >= len(text) > 0
 
 
 # --- passages -----------------------------------------------------------------------------------
@@ -134,13 +158,11 @@ def passages(text: str) -> list[Passage]:
     return out
 
 
-def tokens(p: str, field: bool) -> set[str]:
+def tokens(p: str) -> set[str]:
     """Words, word pairs and marks of a passage, each once."""
     marks = ["<path>"] if "/" in p and _PATH.search(p) else []
     if "`" in p or _QUOTE.search(p):
         marks.append("<quote>")
-    if field:
-        marks.append("<field>")
     ws = ["<n>" if w.isdigit() else "<hex>" if _HEX.fullmatch(w) else w for w in _WORD.findall(p.lower())]
     if len(ws) >= 4 and len(set(ws)) <= max(2, len(ws) // 3):
         marks.append("<repeat>")
@@ -149,16 +171,10 @@ def tokens(p: str, field: bool) -> set[str]:
 
 # --- trusted records ----------------------------------------------------------------------------
 
-#: Phrases that settle the nature of a short record; they only start the model.
+#: What makes a short record a trusted one: a status code, denied access, scripts or cookies by name. The rest is learned.
 _TRUST = re.compile(
-    r"javascript|\bjs\b|\bscript(?:s|ing)\b.*(?:enable|allow|block|off|need|require|disabled|relies|without)|(?:enable|allow|block|without|needs?|requires?)\b.*\bscript(?:s|ing)?\b|клиентский скрипт|запуск сценариев|aktive skripte|skripte|"
-    r"noscript|cookies?\b|"
-    r"(?:error|http|fehler|ошибка|status\W+)\s*\W*[45]\d\d\b|^\W*[45]\d\d\W+(?:\W|page|seite|страниц|not found|forbidden|bad|service|internal|gateway)|access denied|page (?:not found|unavailable)|something went wrong|oops|доступ запрещ|страниц\w+ (?:не найдена|недоступна|нет)|"
-    r"too many requests|service (?:interruption|unavailable)|session (?:has )?expired|removed by (?:its|the) owner|no longer available|permission to (?:view|access)|too long to answer|timed out|planned (?:work|maintenance)|subscribe to|you are human|not a robot|"
-    r"слишком много запросов|что-то пошло не так|сессия истекла|истекло время|удал[её]н владельцем|нет прав на|не ответил вовремя|временно ограничен|плановые работы|оформите подписку|вы не робот|внутреннего сбоя|"
-    r"sitzung ist abgelaufen|nicht rechtzeitig geantwortet|keine berechtigung|zu viele anfragen|geplante arbeiten|"
-    r"упс|технические работы|zugriff verweigert|seite nicht (?:gefunden|verfügbar)|wartungsarbeiten|\"error\"\s*:|<title>[^<]*(?:\d{3}|error|denied|unavailable)",
-    re.I | re.S,
+    r"javascript|noscript|\bjs\b|cookies?\b|(?:error|http|fehler|ошибка|status\W+)\s*\W*[45]\d\d\b|^\W*[45]\d\d\W|\"error\"\s*:|access denied|доступ запрещ|zugriff verweigert",
+    re.I,
 )
 _LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing".split())
 
@@ -176,7 +192,7 @@ def trusted(text: str) -> bool:
     n = sum(len(_WORD.findall(p.text)) for p in ps)
     if not n:
         return False
-    if n <= 60 and len(text) <= 600 and (_RAISED.match(text) or _TRUST.search(text) and not _PATH.search(text)) and not any(fields(p.text) for p in ps):
+    if n <= 60 and len(text) <= 600 and (_RAISED.match(text) or _TRUST.search(text) and not _PATH.search(text)) and not any(map(fields, (p.text for p in ps))):
         return True
     return sum(is_filler(p.text) for p in ps) >= 0.5 * len(ps)
 
@@ -184,74 +200,100 @@ def trusted(text: str) -> bool:
 # --- model --------------------------------------------------------------------------------------
 
 
+class Bayes(NamedTuple):
+    """Log weights of tokens for a class against its complement, and log prior odds."""
+
+    weights: dict[str, float]
+    prior: float
+
+    def odds(self, held: set[str]) -> float:
+        get = self.weights.get
+        return self.prior + sum(get(x, 0.0) for x in held)
+
+
 class Model(NamedTuple):
-    """Log weights of tokens against the content class, and log prior odds."""
-
-    weights: dict[str, tuple[float, float]]
-    prior: tuple[float, float]
-
-    def classify(self, p: str, field: bool) -> str:
-        e, t = self.prior[0], FIELD_ODDS if field else self.prior[1]
-        for x in tokens(p, field):
-            w = self.weights.get(x)
-            if w:
-                e += w[0]
-                t += w[1]
-        if field and t > 0:
-            return "t"
-        if e > 0 and p[:1] not in "{<" and not _RAISED.match(p) and (_ABOUT.search(p) or "/" in p and _PATH.search(p)):
+    """Residue among passages, unfilled fields among passages with fields; None where nothing was trusted."""
+
+    residue: Bayes | None
+    unfilled: Bayes | None
+
+    def classify(self, p: Passage, field: bool) -> str:
+        """e (residue), t (unfilled template) or n (content)."""
+        if field:
+            return "t" if self.unfilled and self.unfilled.odds(field_tokens(p)) > 0 else "n"
+        if not self.residue or self.residue.odds(tokens(p.text)) <= 0:
+            return "n"
+        if p.text[:1] not in "{<" and not _RAISED.match(p.text) and (_ABOUT.search(p.text) or "/" in p.text and _PATH.search(p.text)):
             return "n"  # speaks about or quotes such a text
-        return "e" if e > 0 else "n"
+        return "e"
 
 
-def fit(known: list[tuple[str, str, bool]], unlabelled: list[tuple[str, bool]], rounds: int = ROUNDS) -> Model | None:
-    """Naive Bayes by expectation-maximization. ``known``: (class, passage, has field) of trusted records."""
+def expect_maximize(known: list[set[str]], unlabelled: list[tuple[set[str], int]], share: float, first: float = 0.0, against: list[set[str]] | None = None, rounds: int = ROUNDS) -> Bayes | None:
+    """Naive Bayes of a class from trusted members and unlabelled (tokens, times) of both kinds.
+
+    ``share`` is the first guess of the class's share of the unlabelled, from which every round takes its own;
+    ``first`` is the first posterior of each. ``against`` are trusted members of the complement.
+    A token that the class never showed counts against it with ``UNSEEN`` at most in weight.
+    """
     if not known:
         return None
-    grams_k = [(c, Counter(tokens(p, f))) for c, p, f in known]
-    seen = Counter((p, f) for p, f in unlabelled)
-    grams_u = [(Counter(tokens(p, f)), n, f) for (p, f), n in seen.items()]
-    post = [{"e": 0.0, "t": 0.9 if f else 0.0, "n": 0.1 if f else 1.0} for _, _, f in grams_u]
-    prior = dict(PRIOR)
+    total_n = sum(n for _, n in unlabelled)
+    post = [first] * len(unlabelled)
+    fixed: Counter = Counter(x for g in known for x in g)
+    everywhere: Counter = Counter(x for g in against or () for x in g)
+    for g, n in unlabelled:
+        for x in g:
+            everywhere[x] += n
+    prior = math.log(share / (1 - share))
     model = None
     for _ in range(rounds):
-        count: dict[str, Counter] = {c: Counter() for c in "etn"}
-        for c, g in grams_k:
-            for x, k in g.items():
-                count[c][x] += k
-        for (g, n, _), q in zip(grams_u, post):
-            for c, w in (("e", SHARE * q["e"] if q["e"] > CERTAIN else 0.0), ("t", q["t"]), ("n", q["n"])):
-                if w > 1e-4:
-                    for x, k in g.items():
-                        count[c][x] += k * n * w
-        vocab = set().union(*count.values())
-        total = {c: sum(count[c].values()) + ALPHA * len(vocab) for c in "etn"}
-        log = {c: {x: math.log((count[c][x] + ALPHA) / total[c]) for x in vocab} for c in "etn"}
-        # a token that residue never showed is no evidence for it, however rare it is elsewhere; templates
-        # hold the words of their content, so a token they never showed says nothing
-        weights = {
-            x: (
-                log["e"][x] - log["n"][x] if count["e"][x] >= 0.25 else min(UNSEEN, log["e"][x] - log["n"][x]),
-                log["t"][x] - log["n"][x] if count["t"][x] >= 0.25 else 0.0,
-            )
-            for x in vocab
-        }
-        bias = (math.log(prior["e"] / prior["n"]), math.log(prior["t"] / prior["n"]))
-        model = Model({x: w for x, w in weights.items() if abs(w[0]) > 0.05 or abs(w[1]) > 0.05}, bias)
-        new = []
-        for g, _, f in grams_u:
-            e, t = bias[0], FIELD_ODDS if f else bias[1]
-            for x, k in g.items():
-                w = weights[x]
-                e += k * w[0]
-                t += k * w[1]
-            if not f:
-                t = -50.0
-            top = max(e, t, 0.0)
-            z = math.exp(e - top) + math.exp(t - top) + math.exp(-top)
-            new.append({"e": math.exp(e - top) / z, "t": math.exp(t - top) / z, "n": math.exp(-top) / z})
-        post = new
-    return model
+        pos: Counter = Counter(fixed)
+        for (g, n), q in zip(unlabelled, post):
+            if q > 1e-3:
+                for x in g:
+                    pos[x] += n * q
+        drawn = {x: pos[x] - fixed[x] for x in pos}
+        vocab = set(pos) | set(everywhere)
+        sum_pos = sum(pos.values()) + ALPHA * len(vocab)
+        sum_neg = sum(everywhere.values()) - sum(drawn.values()) + ALPHA * len(vocab)
+        weights = {}
+        for x in vocab:
+            p = pos.get(x, 0.0)
+            w = math.log((p + ALPHA) / sum_pos) - math.log((max(0.0, everywhere.get(x, 0) - drawn.get(x, 0.0)) + ALPHA) / sum_neg)
+            w = w if p >= SHOWN else min(UNSEEN, w)
+            if abs(w) > 0.05:
+                weights[x] = w
+        model = Bayes(weights, prior)
+        odds = [model.odds(g) for g, _ in unlabelled]
+        post = [1 / (1 + math.exp(-max(-50.0, min(50.0, o)))) for o in odds]
+        own = sum(q * n for q, (_, n) in zip(post, unlabelled))
+        part = min(max((own + 1) / (total_n + len(against or ()) + 2), 1e-6), 1 - 1e-6)
+        prior = math.log(part / (1 - part))
+    return Bayes(model.weights, prior)
+
+
+def learn(known: list[str], rest: list[str], rounds: int = ROUNDS) -> Model:
+    """Model from the texts of trusted records and of a sample of all records."""
+    sure = {t for t in (*known, *rest) if trusted(t)}
+    residue = [tokens(p.text) for t in sorted(sure) for p in passages(t) if not fields(p.text)]
+    plain: Counter = Counter()
+    unfilled, meant, either = [], [], []
+    for t in rest:
+        if t in sure:
+            continue
+        for p in passages(t):
+            if not fields(p.text):
+                plain[p.text] += 1
+                continue
+            held = field_tokens(p)
+            if "<prose>" not in held:
+                meant.append(held)
+            elif trusted_field(p.text):
+                unfilled.append(held)
+            else:
+                either.append((held, 1))
+    seen = [(tokens(p), n) for p, n in sorted(plain.items())]
+    return Model(expect_maximize(residue, seen, PRIOR, rounds=rounds), expect_maximize(unfilled, either, FIELD_PRIOR, FIELD_PRIOR, meant, rounds))
 
 
 def residue_kind(text: str | None, model: Model | None) -> str | None:
@@ -261,12 +303,12 @@ def residue_kind(text: str | None, model: Model | None) -> str | None:
     kinds: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
     settled = -2
     for p in passages(text):
-        f = p.prose and bool(fields(p.text))
+        f = bool(fields(p.text))
         # nothing that follows a worded passage of content can make its section residue, only a field still counts
         if p.section == settled and not f:
             continue
-        c = model.classify(p.text, f)
-        if c == "t" and f:
+        c = model.classify(p, f)
+        if c == "t":
             return "template"
         n = len(_WORD.findall(p.text))
         if n and p.section >= 0:
@@ -299,7 +341,7 @@ def _sample(rows: DataFrame, size: int) -> list[str]:
     return sorted(r["text"] for r in rows.where(F.pmod("h", F.lit(every)) == 0).select("text").collect())
 
 
-def train(documents: DataFrame, sample: int = SAMPLE, sample_trusted: int = SAMPLE_TRUSTED) -> Model | None:
+def train(documents: DataFrame, sample: int = SAMPLE, sample_trusted: int = SAMPLE_TRUSTED) -> Model:
     """Model from a bounded sample of the documents; both bounds are parameters.
 
     One sample is drawn from all documents, one from those whose length or wording lets them be trusted
@@ -307,24 +349,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, sample_trusted: int = SAMP
     """
     keyed = documents.where("text IS NOT NULL AND trim(text) <> ''").select("text", F.xxhash64("doc_id", "text").alias("h"))
     hopeful = keyed.where((F.length("text") <= 600) | F.lower("text").rlike("lorem|ipsum|рыба"))
-    known = sorted({t for t in _sample(hopeful, sample_trusted) if trusted(t)})
-    rest = _sample(keyed, sample)
-    held = set(known)
-    known += sorted({t for t in rest if trusted(t)} - held)
-    marked: list[tuple[str, str, bool]] = []
-    unlabelled: list[tuple[str, bool]] = []
-    sure_texts = set(known)
-    for t in known:
-        marked += [("e", p.text, False) for p in passages(t) if not fields(p.text)]
-    for t in rest:
-        if t in sure_texts:
-            continue
-        for p in passages(t):
-            f = p.prose and bool(fields(p.text))
-            if f:
-                marked.append(("t", p.text, True))
-            unlabelled.append((p.text, f))
-    return fit(marked, unlabelled)
+    return learn(_sample(hopeful, sample_trusted), _sample(keyed, sample))
 
 
 def excluded(documents: DataFrame, model: Model | None = None) -> DataFrame:

@@ -55,18 +55,49 @@ def test_fields(t):
     assert k.fields(f"Prepared for {t} before the review.")
 
 
-@pytest.mark.parametrize("t", ["`{span}`", "a <b>bold</b> word", "{% for x in rows %}", "50% of 70% more", "see #412 and #7", "__init__ and __main__", "x = {1, 2}", "«цитата из текста»", "/api/{id}/x", "[link](a.md)"])
+@pytest.mark.parametrize("t", ["a <b>bold</b> word", "{% for x in rows %}", "50% of 70% more", "see #412 and #7", "__init__ and __main__", "x = {1, 2}", "«цитата из текста»", "/api/{id}/x", "[link](a.md)"])
 def test_no_fields(t):
     assert not k.fields(f"The reader keeps {t} as it is.")
 
 
+def model_of(bad, content):
+    known = [k.tokens(b) for b in [bad] * 4 + BAD * 2]
+    return k.Model(k.expect_maximize(known, [(k.tokens(s), 1) for s in content], 0.03), None)
+
+
 @pytest.mark.parametrize("bad", ["the the the the the the the", "rows batch kept was read while the index"])
 def test_evidence_without_a_telling_word(bad):
     """Ordinary words whose pairs or repetition alone say residue."""
     content = [s + "." for s in prose(300).split(". ")] + [f"The index and its batch {i} were read while the rows kept to the plan." for i in range(200)]
-    model = k.fit([("e", b, False) for b in [bad] * 4 + BAD * 2], [(s, False) for s in content])
-    assert all(model.weights.get(w, (0.0, 0.0))[0] < 2.0 for w in set(bad.split()))
+    model = model_of(bad, content)
+    assert all(model.residue.weights.get(w, 0.0) < 2.0 for w in set(bad.split()))
     assert k.residue_kind(bad, model) == "residue"
     assert k.residue_kind(f"# card\n\n{content[0]}\n\n{bad}", model) is None
     assert k.residue_kind(f"# card\n\n{content[0]}\n\n## Scope\n\n{bad}\n\n{content[1]}", model) == "residue"
-    assert k.residue_kind(f"# card\n\n{content[0]}\n\nMade for {{{{owner}}}} again.", k.fit([("e", bad, False), ("t", "Made for {{owner}} again.", True)], [(s, False) for s in content])) == "template"
+
+
+def test_model_decides(docs):
+    """Without its weights the model finds other records, both of residue and of templates."""
+    texts = [t for _, t in docs.values()]
+    model = k.learn(texts, texts)
+    real = [k.residue_kind(t, model) for t in texts]
+    assert real.count("residue") > 20 and real.count("template") > 20
+    flat = k.Model(k.Bayes({}, model.residue.prior), k.Bayes({}, model.unfilled.prior))
+    other = [k.residue_kind(t, flat) for t in texts]
+    assert sum(a != b and a == "residue" for a, b in zip(real, other)) > 20
+    assert sum(a is None and b == "template" for a, b in zip(real, other)) > 5
+
+
+def test_shares_are_estimated():
+    known = [{"a", "b"}] * 5
+    half = k.expect_maximize(known, [({"a", "b"}, 50), ({"c", "d"}, 50)], 0.03)
+    few = k.expect_maximize(known, [({"a", "b"}, 2), ({"c", "d"}, 98)], 0.03)
+    assert abs(half.prior) < 0.2 and few.prior < -3 and half.odds({"a", "b"}) > 0 > half.odds({"c", "d"})
+
+
+def test_learned_phrases():
+    """Phrases that no trusted record is known by are learned from those beside them."""
+    line = "Your trial is over, subscribe to keep reading."
+    pages = [f"Error 40{i % 4}\n\n{line}\n\nReference: 5F8AC0{i}" for i in range(12)]
+    texts = pages + [line] + [prose() for _ in range(300)]
+    assert not k.trusted(line) and k.residue_kind(line, k.learn(texts, texts)) == "residue"
