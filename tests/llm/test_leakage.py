@@ -75,3 +75,52 @@ GLUED = [f"w{i}" if i % 2 else f"p{i}q{i}" for i in range(40)]
 def test_copies_in_long_documents(item, doc):
     assert list(k.Index([(1, item)]).batch(["nothing here", doc])) == [(1, 1)]
     assert list(k.Index([(1, item)]).batch(["nothing here", " ".join(sorted(doc.split(), reverse=True))])) == []
+
+
+def test_items_of_frequent_grams_only():
+    """Every n-gram stands in more than RARE items; a fifth of the words is changed or left out."""
+    base = [f"c{i}" for i in range(60)]
+    items = [(i, " ".join(base)) for i in range(k.RARE + 3)]
+    for offset in range(5):
+        doc = " ".join("x" if i % 5 == offset else w for i, w in enumerate(base))
+        assert {i for _, i in k.Index(items).batch([doc])} == {i for i, _ in items}
+        gone = " ".join(w for i, w in enumerate(base) if i % 5 != offset)
+        assert {i for _, i in k.Index(items).batch([gone])} == {i for i, _ in items}
+
+
+def test_as_many_seeds_as_edits_can_destroy():
+    index = k.Index([(i, " ".join(f"c{j}" for j in range(50))) for i in range(20)])
+    assert all(n >= 3 * 0.2 * 50 + 3 - 1e-9 for n in index.seeds) and k.least_seeds(50, index.seeds[0]) >= 1
+
+
+def test_short_items():
+    index = k.Index([(1, "alpha beta"), (2, "gamma"), (3, "")])
+    assert sorted(index.batch(["x alpha beta", "alpha x beta gamma", "", "beta"])) == [(0, 1), (1, 2)]
+
+
+def test_many_words_do_not_overflow():
+    index = k.Index([(1, " ".join(f"c{i}" for i in range(30)))])
+    index.size = 2**40 + 3
+    g = index.grams(np.array(index.words[0]))
+    index.keys, index.places = np.sort(g), [[(0, int(p))] for p in np.argsort(g)]
+    assert list(index.batch([" ".join(f"c{i}" for i in range(30))])) == [(0, 1)]
+
+
+def test_long_item_in_linear_memory():
+    import tracemalloc
+
+    words = [f"l{i}" for i in range(3000)]
+    doc = np.array([i if i % 6 else 10**6 for i in range(1, 3001)])
+    tracemalloc.start()
+    matched, span = k.smith_waterman(np.arange(1, 3001), doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert matched == 2500 and span == 2999 and peak < 4 * 2**20
+    assert list(k.Index([(1, " ".join(words))]).batch([" ".join(w if i % 6 else "x" for i, w in enumerate(words))])) == [(0, 1)]
+
+
+def test_items_in_parts(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in DOCS.items()], "doc_id long, text string")
+    items = spark.createDataFrame(list(ITEMS.items()), "item_id long, text string")
+    got = {tuple(r) for r in k.leaks(docs, items, max_items_mb=0.004).collect()}
+    assert got == {(d, i) for d, (_, s) in DOCS.items() for i in s}
