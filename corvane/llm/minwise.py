@@ -93,15 +93,20 @@ class Signer:
                 break
             r, c = np.nonzero(gap)
             sig[r, c] = base[r, self.walk[c, t]]
+        # sets of very few shingles: what the walk has not reached takes the first filled bin
+        gap = (sig == _EMPTY) & filled[:, None]
+        if gap.any():
+            r, c = np.nonzero(gap)
+            sig[r, c] = base[r, (base[r] != _EMPTY).argmax(axis=1)]
         return sig
 
     def keys(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """Per set, ``bands`` 32-bit keys; empty for an empty set."""
+        """Per set, ``bands`` 64-bit keys, each of its band alone; empty for an empty set."""
         sig = self.signatures(sets).reshape(len(sets), self.bands, self.rows)
-        k = np.zeros(sig.shape[:2], np.uint64)
+        k = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), sig.shape[:2])
         for r in range(self.rows):
             k = mix(k * _M1 + sig[:, :, r] + np.uint64(1))
-        k = (k >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        k = k.view(np.int64)
         return [k[i] if len(s) else k[i][:0] for i, s in enumerate(sets)]
 
 

@@ -10,13 +10,15 @@ from corvane.functions.tables import table
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm import neardup
 
-    return neardup.similar_pairs(neardup.signed(neardup.episode_texts(table(spark, d, "turns"))))
+    docs = neardup.episode_texts(table(spark, d, "turns"))
+    return neardup.similar_pairs(neardup.signed(docs), docs)
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     from corvane.llm import neardup
 
-    return neardup.groups(neardup.signed(neardup.episode_texts(table(spark, d, "turns"))))
+    docs = neardup.episode_texts(table(spark, d, "turns"))
+    return neardup.groups(neardup.signed(docs), docs)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

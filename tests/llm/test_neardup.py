@@ -50,7 +50,8 @@ def corpus(seed=3, groups=12, singles=40):
 
 
 def pairs(spark, texts):
-    return {(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(neardup.signed(neardup.episode_texts(turns(spark, texts)))).collect()}
+    docs = neardup.episode_texts(turns(spark, texts))
+    return {(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(neardup.signed(docs), docs).collect()}
 
 
 def test_pairs_equal_brute_force(spark):
@@ -68,15 +69,17 @@ def test_edges(spark):
 def test_large_group_of_near_copies_in_blocks(spark):
     base = [f"v{i}" for i in range(200)]
     texts = {f"e{i:03d}": " ".join(base[: i % 5] + [f"u{i}"] + base[i % 5 :]) for i in range(60)}
-    sig = neardup.signed(neardup.episode_texts(turns(spark, texts)))
-    got = neardup.similar_nodes(sig, block=16)
+    docs = neardup.episode_texts(turns(spark, texts))
+    sig = neardup.signed(docs)
+    got = neardup.similar_nodes(sig, docs, block=16)
     assert got.count() == len(brute(texts)) == 60 * 59 // 2
-    assert neardup.groups(sig).select("group_id").distinct().count() == 1
+    assert neardup.groups(sig, docs).select("group_id").distinct().count() == 1
 
 
 def test_empty(spark):
-    none = neardup.signed(neardup.episode_texts(spark.createDataFrame([], TURNS)))
-    assert neardup.similar_pairs(none).count() == 0 and neardup.groups(none).count() == 0
+    docs = neardup.episode_texts(spark.createDataFrame([], TURNS))
+    none = neardup.signed(docs)
+    assert neardup.similar_pairs(none, docs).count() == 0 and neardup.groups(none, docs).count() == 0
 
 
 def test_signature_estimates_similarity():
@@ -115,3 +118,97 @@ def test_history_equals_greedy(spark):
 def test_history_without_later_batches(spark, batches):
     eps = spark.createDataFrame([(f"e{i}", b) for i, b in enumerate(batches)], "id string, batch_no int")
     assert history.rejected(eps, turns(spark, {"e0": "a b c d"})).count() == 0
+
+
+def test_groups_are_the_components_of_the_pairs(spark):
+    texts = corpus(seed=5)
+    docs = neardup.episode_texts(turns(spark, texts))
+    got = {r["id"]: r["group_id"] for r in neardup.groups(neardup.signed(docs), docs).collect()}
+    parent = {e: e for e in texts}
+
+    def root(e):
+        while parent[e] != e:
+            e = parent[e]
+        return e
+
+    for a, b in brute(texts):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert got == {e: root(e) for e in texts}
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_bucket_of_unlike_records(spark, rounds):
+    """A shared head puts many records into one bucket; the pairs in it are found in few rounds."""
+    rng = random.Random(1)
+    head = [f"h{i}" for i in range(60)]
+    texts, n = {}, 0
+    for i in range(14):
+        tail = [f"t{i}x{j}" for j in range(50)]
+        for k in range(2):
+            w = head + tail
+            w[70 + k] = f"z{i}{k}"
+            texts[f"e{n:02d}"] = " ".join(w)
+            n += 1
+    rng.shuffle(head)
+    docs = neardup.episode_texts(turns(spark, texts))
+    node = {r["id"]: r["node"] for r in neardup.signed(docs).collect()}
+    got = {frozenset((r["node_a"], r["node_b"])) for r in neardup.similar_nodes(neardup.signed(docs), docs, rounds=rounds, block=4).collect()}
+    assert got == {frozenset((node[a], node[b])) for a, b in brute(texts)} and len(got) == 14
+
+
+def test_few_shingles_fill_every_bin():
+    s = minwise.Signer(40, 4)
+    one = np.array([123456789], np.uint64)
+    assert (s.signatures([one])[0] == s.signatures([one])[0][0]).all() and len(set(s.keys([one, one])[0].tolist())) == 40
+    assert s.keys([one])[0].dtype == np.int64
+
+
+def sig_of(spark, texts):
+    docs = neardup.episode_texts(turns(spark, texts))
+    return neardup.signed(docs), docs
+
+
+def test_index_outlives_the_session(spark, tmp_path):
+    base = [f"k{i}" for i in range(60)]
+    change = lambda k: " ".join(w if i != k else "new" for i, w in enumerate(base))
+    path = f"file://{tmp_path}/index"
+    sig, docs = sig_of(spark, {"a": " ".join(base), "b": "two words", "c": "alone here " * 20})
+    history.HistoryIndex(spark, path).append(sig, docs)
+    other = spark.newSession()
+    again = history.HistoryIndex(other, path)
+    sig, docs = sig_of(other, {"d": change(5), "e": "Two, words!", "f": "something else entirely", "g": None, "h": "something else, entirely"})
+    assert {r["id"] for r in history.admit(again, sig, docs).collect()} == {"d", "e", "h"}
+    third = history.HistoryIndex(spark.newSession(), path)
+    sig, docs = sig_of(spark, {"i": "Something else entirely", "j": "not seen before at all"})
+    assert {r["id"] for r in history.admit(third, sig, docs).collect()} == {"i"}
+    third.drop()
+    sig, docs = sig_of(spark, {"i": "Something else entirely"})
+    assert history.admit(history.HistoryIndex(spark, path), sig, docs).count() == 0
+
+
+def test_probe_reads_the_matching_subfolders_only(spark, tmp_path):
+    texts = {f"e{i}": " ".join(f"w{i}x{j}" for j in range(30)) for i in range(200)}
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index", parts=512)
+    index.append(*sig_of(spark, texts))
+    rows = history._keyed(sig_of(spark, {"n": texts["e7"] + " more"})[0]).withColumn("part", index._part("key"))
+    held = index._held("keys", "key long, node long, lead boolean", rows)
+    files = len(held.inputFiles())
+    read = {f for (f,) in held.select("_metadata.file_name").distinct().collect()}
+    assert len(read) <= 40 < files
+    sig, docs = sig_of(spark, {"n": texts["e7"] + " more"})
+    assert history.admit(index, sig, docs).count() == 1
+
+
+def test_batches_one_by_one_equal_all_at_once(spark, tmp_path):
+    texts = corpus(seed=9, groups=8, singles=10)
+    batch = {e: i % 3 for i, e in enumerate(sorted(texts, key=lambda e: e[-1] + e))}
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index")
+    got = set()
+    for n in range(3):
+        sig, docs = sig_of(spark, {e: t for e, t in texts.items() if batch[e] == n})
+        if n:
+            got |= {r["id"] for r in history.admit(index, sig, docs).collect()}
+        else:
+            index.append(sig, docs)
+    assert got == greedy(texts, batch)
