@@ -49,3 +49,14 @@ def efficiency(docs: DataFrame, text: str, source: Column, merges: list[tuple[st
         F.round(F.sum(F.length("w") * F.col("f")) / F.sum(F.col("tokens") * F.col("f")), 6).alias("chars_per_token"),
         F.avg(F.col("same").cast("double")).alias("round_trip"),
     )
+
+
+def decoded(symbols: Column) -> Column:
+    """Text of a sequence of symbols."""
+    return F.array_join(symbols, "")
+
+
+def vocabulary_hash(vocabulary: DataFrame, symbol: str, rank: str) -> DataFrame:
+    """(size, sha256) of a bounded vocabulary: digest over its symbols by rank."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(rank), F.col(symbol))))
+    return vocabulary.agg(F.count(F.lit(1)).alias("size"), F.sha2(F.array_join(F.transform(rows, lambda x: x[symbol]), "\n"), 256).alias("sha256"))

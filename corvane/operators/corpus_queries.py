@@ -51,13 +51,15 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 def code_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(source() == "code")
     size = F.octet_length("text")
-    state = F.when(size < 256, "too_small").when(size > 2000, "truncated").otherwise("whole")
-    cut = tx.cut_bytes(F.col("text"), 2000)
+    state = F.when(size < 256, "too_small").when(size > 100_000, "truncated").otherwise("whole")
+    cut = tx.cut_bytes(F.col("text"), 100_000)
     return docs.select("doc_id", size.cast("long").alias("bytes"), state.alias("state"), F.octet_length(cut).cast("long").alias("kept_bytes"))
 
 
 def test_marked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.markers(F.col("text"), ("def ", "import ", "assert")).alias("found")).where(F.size("found") > 0)
+    """Documents per test marker, with those that hold none."""
+    m = table(spark, d, "documents").select(tx.markers(F.col("text")).alias("found"))
+    return m.select(F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(F.lit("none")))).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
 
 
 def path_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -238,9 +240,9 @@ SQL = {
     "reject_reasons": f"SELECT {SQL_SOURCE} AS src, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 32 THEN 'too_short' WHEN length(text) > 50000 THEN 'too_long' WHEN path IS NOT NULL AND regexp_matches(path, '(^|/)(\\.git|\\.venv|venv|node_modules|__pycache__)(/|$)|\\.(pem|key|p12|pfx|so|bin|exe|png|jpg)$') THEN 'denied_path' WHEN int_score < 2 THEN 'quality' WHEN NOT {_OK_LIC} THEN 'license' ELSE 'kept' END AS reason, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2",
     "pass_share": f"SELECT {SQL_SOURCE} AS src, count(*) FILTER ({_OK_LIC} AND length(text) >= 32) AS kept, count(*) AS read, round(count(*) FILTER ({_OK_LIC} AND length(text) >= 32) / count(*)::DOUBLE, 6) AS share FROM documents GROUP BY 1",
     "quality_gate": "SELECT doc_id, int_score, n_chars FROM documents WHERE int_score >= 4 AND length(text) BETWEEN 800 AND 50000",
-    "code_gate": f"SELECT doc_id, strlen(text)::BIGINT AS bytes, CASE WHEN strlen(text) < 256 THEN 'too_small' WHEN strlen(text) > 2000 THEN 'truncated' ELSE 'whole' END AS state, (SELECT max(strlen(left(text, k))) FROM range(0, 2001) r(k) WHERE strlen(left(text, k)) <= 2000)::BIGINT AS kept_bytes FROM documents WHERE {SQL_SOURCE} = 'code'",
-    "packed_sequences": "WITH f AS (SELECT doc_id, ([1] || list_transform(string_split(text, ''), lambda c: unicode(c))[1:30] || [2] || list_transform(range(32), lambda i: 0))[1:32] AS f FROM documents WHERE lang = 'de') SELECT doc_id, array_to_string(f[1:31], ',') AS inputs, array_to_string(f[2:32], ',') AS labels FROM f",
-    "test_marked": "SELECT doc_id, list_filter(['def ', 'import ', 'assert'], lambda m: contains(text, m)) AS found FROM documents WHERE len(list_filter(['def ', 'import ', 'assert'], lambda m: contains(text, m))) > 0",
+    "code_gate": f"SELECT doc_id, strlen(text)::BIGINT AS bytes, CASE WHEN strlen(text) < 256 THEN 'too_small' WHEN strlen(text) > 100000 THEN 'truncated' ELSE 'whole' END AS state, (CASE WHEN strlen(text) <= 100000 THEN strlen(text) ELSE (SELECT max(strlen(left(text, k))) FROM range(0, 100001) r(k) WHERE strlen(left(text, k)) <= 100000) END)::BIGINT AS kept_bytes FROM documents WHERE {SQL_SOURCE} = 'code'",
+    "packed_sequences": "WITH f AS (SELECT doc_id, ([1] || list_transform(string_split(text, ''), lambda c: unicode(c))[1:30] || [2] || list_transform(range(32), lambda i: 0))[1:32] AS f FROM documents) SELECT doc_id, array_to_string(f[1:31], ',') AS inputs, array_to_string(f[2:32], ',') AS labels FROM f",
+    "test_marked": "SELECT marker, count(*) AS n FROM (SELECT unnest(CASE WHEN len(f) > 0 THEN f ELSE ['none'] END) AS marker FROM (SELECT list_filter(['def test_', 'unittest', 'pytest'], lambda m: contains(text, m)) AS f FROM documents WHERE text IS NOT NULL)) GROUP BY 1",
     "path_classes": f"SELECT repo, {_CLASS} AS kind, count(*) AS n FROM documents GROUP BY 1, 2",
     "path_majority": f"SELECT repo, arg_max(kind, n * 10 + CASE kind WHEN 'docs' THEN 3 WHEN 'behaviour' THEN 2 ELSE 1 END) AS kind, count(DISTINCT kind) > 1 AS mixed FROM (SELECT repo, {_CLASS} AS kind, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1",
     "scrub_counts": "WITH t AS (SELECT DISTINCT ON (turn_id) content FROM turns) " + " UNION ALL ".join(f"SELECT '{k}' AS rule, CAST(coalesce(sum(len(regexp_extract_all(content, '{p}'))), 0) AS BIGINT) AS hits FROM t" for k, p in tx.SECRETS.items()),
@@ -249,7 +251,7 @@ SQL = {
     "joint_pool_dedup": f"SELECT pool, count(*) AS kept FROM (SELECT pool, id, row_number() OVER (PARTITION BY sha256({SQL_NORM}) ORDER BY pool, id) AS rn FROM (SELECT 'documents' AS pool, doc_id AS id, text FROM documents UNION ALL SELECT 'items', item_id, text FROM eval_items)) WHERE rn = 1 GROUP BY 1",
     "line_dedup": f"WITH l AS (SELECT doc_id, {SQL_SOURCE} AS src, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), k AS (SELECT line, min(CASE src WHEN 'skill' THEN 0 ELSE 1 END * 1000000000000 + doc_id) AS best FROM l WHERE length(line) >= 40 GROUP BY 1) SELECT src, count(*) AS lines, count(*) FILTER (CASE src WHEN 'skill' THEN 0 ELSE 1 END * 1000000000000 + doc_id <> best) AS repeated FROM l JOIN k USING (line) GROUP BY 1",
     "candidate_merge": f"WITH d AS (SELECT sha256({SQL_NORM}) AS fp, int_score FROM documents), k AS (SELECT DISTINCT fp FROM d WHERE int_score >= 4), n AS (SELECT DISTINCT fp FROM d WHERE int_score < 4) SELECT count(*) FILTER (fp NOT IN (SELECT fp FROM k)) AS added, count(*) FILTER (fp IN (SELECT fp FROM k)) AS skipped FROM n",
-    "rededup_is_stable": "SELECT CAST(0 AS BIGINT) AS dropped",
+    "rededup_is_stable": f"WITH once AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY {SQL_NORM}), again AS (SELECT min(doc_id) AS doc_id FROM documents JOIN once USING (doc_id) GROUP BY {SQL_NORM}) SELECT count(*) AS dropped FROM once WHERE doc_id NOT IN (SELECT doc_id FROM again)",
     "ngram_leak_report": f"WITH h AS (SELECT DISTINCT item_id, gram FROM {_gram_sql('eval_items', 'item_id', 12)}), s AS (SELECT DISTINCT gram FROM {_gram_sql('documents', 'doc_id', 12)}) SELECT suite, count(*) AS grams, count(s.gram) AS leaked, round(count(s.gram) / count(*)::DOUBLE, 6) AS overlap FROM h JOIN eval_items USING (item_id) LEFT JOIN s ON h.gram = s.gram GROUP BY 1",
     "ngram_clean_documents": f"WITH h AS (SELECT DISTINCT gram FROM {_gram_sql('eval_items', 'item_id', 12)}), b AS (SELECT DISTINCT doc_id FROM {_gram_sql('documents', 'doc_id', 12)} g SEMI JOIN h USING (gram)) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b)",
     "holdout_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('7|' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents WHERE trim(text) <> '') WHERE rn <= least(n, greatest(10, ceil(0.05 * n)))",
@@ -260,8 +262,8 @@ SQL = {
     "share_capped": f"WITH d AS (SELECT doc_id, {SQL_SOURCE} AS src, n_chars, sum(n_chars) OVER () AS total, sum(n_chars) OVER (PARTITION BY {SQL_SOURCE} ORDER BY doc_id) AS run FROM documents) SELECT doc_id, src FROM d WHERE run <= CASE src WHEN 'trace' THEN 0.05 WHEN 'skill' THEN 0.10 ELSE 1e9 END * total",
     "token_mix": f"WITH d AS (SELECT doc_id, {SQL_SOURCE} AS src, n_chars // 4 AS tk FROM documents WHERE {SQL_SOURCE} IN ('code', 'web')), t AS (SELECT sum(tk) FILTER (src = 'code') AS c, sum(tk) FILTER (src = 'web') AS w FROM d), m AS (SELECT least(c / 0.15, w / 0.85) AS total FROM t), r AS (SELECT src, doc_id, tk, sum(tk) OVER (PARTITION BY src ORDER BY doc_id) AS run FROM d) SELECT src, count(*) AS records, CAST(sum(tk) AS BIGINT) AS tokens FROM r, m WHERE run <= total * CASE src WHEN 'code' THEN 0.15 ELSE 0.85 END GROUP BY 1",
     "phase_mix": "SELECT t, CASE WHEN ((t + 1) * (t + 2)) // 2000 > (t * (t + 1)) // 2000 THEN 'Q' ELSE 'W' END AS stream FROM range(1000) r(t)",
-    "curriculum": "SELECT doc_id, CASE WHEN run - n_chars < 0.9 * total THEN 8192 ELSE 65536 END AS context FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS run, sum(n_chars) OVER () AS total FROM documents WHERE lang = 'de')",
-    "length_batches": "SELECT doc_id, CAST((rn - 1) // 8 AS BIGINT) AS batch, CAST(max(n_chars) OVER (PARTITION BY (rn - 1) // 8) - n_chars AS BIGINT) AS padding FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS rn FROM documents WHERE lang = 'de')",
+    "curriculum": "SELECT doc_id, CASE WHEN run - n_chars < 0.9 * total THEN 8192 ELSE 65536 END AS context FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS run, sum(n_chars) OVER () AS total FROM documents)",
+    "length_batches": "SELECT doc_id, CAST((rn - 1) // 8 AS BIGINT) AS batch, CAST(max(n_chars) OVER (PARTITION BY (rn - 1) // 8) - n_chars AS BIGINT) AS padding FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS rn FROM documents)",
     "weighted_sample": f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY ln({_COIN.format(k=chr(39) + '3|' + chr(39) + ' || doc_id')}) / (1 - p) DESC, doc_id) AS rn FROM (SELECT doc_id, int_score / 5.0 AS p FROM documents WHERE int_score IS NOT NULL) WHERE p > 0 AND p < 1) WHERE rn <= 20",
     "windowed_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY w, h, doc_id) - 1 AS pos FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS w, sha256('5|' || doc_id) AS h FROM documents)",
     "corpus_sample": f"WITH d AS (SELECT doc_id, {SQL_SOURCE} AS src, n_chars, sum(n_chars) OVER (PARTITION BY {SQL_SOURCE} ORDER BY sha256('1|' || doc_id), doc_id) AS run FROM documents) SELECT doc_id, src FROM d WHERE run <= CASE src WHEN 'web' THEN 0.85 WHEN 'code' THEN 0.15 ELSE 0 END * 60000",

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.plans.components import components
 from corvane.plans.materialize import is_empty, materialize
 
 #: Modulus of the affine hash family and its seeds' multiplier (fixed values).
@@ -61,9 +60,9 @@ def estimate(a: Column, b: Column) -> Column:
 def near_pairs(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8) -> DataFrame:
     """(a, b, similarity) of representatives of exact forms, a < b, whose shingle sets are alike >= threshold.
 
-    Records that share a band are linked to the least key of the bucket. Those at least 2 threshold - 1 alike
-    join its component, those below the threshold form a new star: by the triangle inequality of the Jaccard
-    distance no similar pair of a bucket is lost. Pairs are compared inside components.
+    Records that share a band are linked to the least key of the bucket, the hub. Those below the threshold form
+    a new star, those above are compared with all that are at least 2 threshold - 1 alike the hub: by the triangle
+    inequality of the Jaccard distance no similar pair of a bucket is lost.
     """
     words = exact(df, key, text).select(key).join(df, key).select(key, tx.words(F.col(text)).alias("w"))
     reps = materialize(words.select(F.col(key).alias("k"), F.array_distinct(tx.ngrams(F.col("w"), shingle)).alias("g")), "grams").where(F.size("g") > 0)
@@ -88,9 +87,12 @@ def near_pairs(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int
         open_rows = star(open_rows.join(rest, ["hub", "k"], "left_semi").select("k", "band", "bucket"))
     if links is None:
         return reps.select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity")).limit(0)
-    comp = components(links)
-    pairs = comp.select("comp", F.col("node").alias("a")).join(comp.select("comp", F.col("node").alias("b")), "comp").where("a < b")
-    return alike(pairs.select("a", "b")).where(F.col("similarity") >= threshold)
+    links = materialize(links.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+    # what is similar to a record that is similar to the hub is at least 2 threshold - 1 alike the hub
+    core = links.where(F.col("similarity") >= threshold).select(F.col("a").alias("hub"), F.col("b").alias("x"))
+    around = core.join(links.select(F.col("a").alias("hub"), F.col("b").alias("y")), "hub").where("x <> y")
+    more = around.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    return links.union(alike(more)).where(F.col("similarity") >= threshold)
 
 
 def near_rate(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -99,11 +99,16 @@ def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as shards with a manifest, hashes recomputed from the written files."""
+    """Documents written as shards with a manifest, hashes recomputed from the files; then one digest of the manifest is altered."""
     path = new_path(spark, "shards")
     docs = table(spark, d, "documents").select("doc_id", "text")
     m = shards.write(docs, path, rows=200)
-    return shards.verify(spark, path, m).agg(F.count(F.lit(1)).alias("shards"), F.bool_and("ok").alias("all_match"), F.sum("records").alias("records")).select("all_match", "records")
+    one = m.select(F.min("file").alias("_f"))
+    altered = m.crossJoin(F.broadcast(one)).withColumn("sha256", F.when(F.col("file") == F.col("_f"), F.reverse("sha256")).otherwise(F.col("sha256"))).drop("_f")
+    whole, hurt = shards.bad_shards(shards.verify(spark, path, m)), shards.bad_shards(shards.verify(spark, path, altered))
+    back = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    state = whole.select("all_match", F.size("bad").alias("bad")).crossJoin(F.broadcast(hurt.select(F.col("all_match").alias("altered_match"), F.size("bad").alias("altered_bad"))))
+    return back.crossJoin(F.broadcast(state))
 
 
 def token_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -121,13 +126,17 @@ def openmetrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_history(spark: SparkSession, d: str) -> DataFrame:
-    """Events as facts, chained and written, read back, verified, latest per fact."""
-    e = table(spark, d, "events").select(F.lit("events").alias("sensor"), F.col("event_type").alias("fact"), "value", F.col("event_id").alias("seq"))
+    """Events as facts of one sensor a type, appended in two parts and read back; then lines are edited and the breaks counted."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("sensor"), F.col("event_type").alias("fact"), "value", F.col("event_id").alias("seq"))
     path = new_path(spark, "facts")
-    facts.append(e, path)
+    half = F.col("seq") < 500
+    facts.append(e.where(half), path)
+    facts.append(e.where(~half), path)
     f = facts.read(spark, path)
-    ok = series.chain_breaks(f, "sensor", "raw", "prev_sha256", "seq").select(F.col("intact"))
-    return facts.latest(f).select("fact", F.round("value", 6).alias("value")).crossJoin(F.broadcast(ok))
+    edited = F.when(F.col("seq") % 1000 == 7, F.regexp_replace("raw", r'"value":[^,}]+', '"value":-1.0')).otherwise(F.col("raw"))
+    ok = facts.intact(f).select(F.col("sensor").alias("fact"), "intact")
+    bad = facts.intact(facts.parsed(f.select(edited.alias("value")))).select(F.col("sensor").alias("fact"), "broken")
+    return facts.latest(f).select("fact", F.round("value", 6).alias("value")).join(ok, "fact").join(bad, "fact")
 
 
 def preflight(spark: SparkSession, d: str) -> DataFrame:
@@ -142,26 +151,29 @@ QUERIES = {f.__name__: f for f in (
     encoding_efficiency, jsonl_scan, shard_manifest, token_stream, openmetrics, fact_history, preflight,
 )}
 
-_R = "(SELECT DISTINCT ON (msg_id) source_session, seq, msg_id, content, kind, CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'function' THEN 'tool' ELSE lower(trim(role)) END AS role FROM session_turns WHERE seq IS NOT NULL)"
-_E = f"(SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY source_session ORDER BY seq, msg_id ROWS UNBOUNDED PRECEDING) - 1 AS episode FROM {_R})"
+_R = (
+    "(SELECT *, row_number() OVER (PARTITION BY source_session ORDER BY seq IS NULL, seq, tm IS NULL, tm, msg_id) AS rn FROM (SELECT DISTINCT ON (msg_id) source_session, seq, CASE WHEN seq IS NULL THEN ts END AS tm, msg_id, content, kind, "
+    "CASE lower(trim(role)) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'function' THEN 'tool' ELSE lower(trim(role)) END AS role FROM session_turns))"
+)
+_E = f"(SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY source_session ORDER BY rn ROWS UNBOUNDED PRECEDING) - 1 AS episode FROM {_R})"
 _ID = "'ep-' || substr(sha256(encode(source_session) || '\\x00'::BLOB || encode(CAST(CAST(episode AS BIGINT) AS VARCHAR))), 1, 16)"
 _CH = "(SELECT w, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)')) AS w FROM documents) GROUP BY 1)"
 _PAIRS = f"(SELECT substr(w, i, 1) AS a, substr(w, i + 1, 1) AS b, CAST(sum(f) AS BIGINT) AS n FROM (SELECT w, f, unnest(range(1, length(w))) AS i FROM {_CH} WHERE length(w) > 1) GROUP BY 1, 2)"
 SQL = {
     "session_episodes": f"SELECT {_ID} AS id, source_session, CAST(episode AS BIGINT) AS episode, CAST(count(*) AS INTEGER) AS n_turns FROM {_E} WHERE episode >= 0 GROUP BY source_session, episode",
-    "last_frames": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY seq DESC, msg_id DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, string_agg(coalesce(content, ''), chr(10) ORDER BY seq, msg_id) FILTER (kind = 'tool_result' AND back <= 5) AS res, arg_max(coalesce(content, chr(0)), seq::BIGINT * 100000000 + msg_id) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2) SELECT {_ID} AS id, CAST(coalesce(length(res), 0) AS INTEGER) AS result_chars, CAST(coalesce(CASE WHEN ans <> chr(0) THEN length(ans) END, -1) AS INTEGER) AS answer_chars FROM r",
+    "last_frames": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY rn DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, string_agg(coalesce(content, ''), chr(10) ORDER BY rn) FILTER (kind = 'tool_result' AND back <= 5) AS res, arg_max(coalesce(content, chr(0)), rn) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2) SELECT {_ID} AS id, CAST(coalesce(length(res), 0) AS INTEGER) AS result_chars, CAST(coalesce(CASE WHEN ans <> chr(0) THEN length(ans) END, -1) AS INTEGER) AS answer_chars FROM r",
     "episode_times": "SELECT TRY_CAST(started_at AS TIMESTAMPTZ) IS NOT NULL AS parsed, started_at IS NULL AS missing, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM episodes) GROUP BY 1, 2",
-    "classified": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY seq DESC, msg_id DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, coalesce(string_agg(coalesce(content, ''), chr(10) ORDER BY seq, msg_id) FILTER (kind = 'tool_result' AND back <= 5), '') AS res, arg_max(coalesce(content, ''), seq::BIGINT * 100000000 + msg_id) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2), c AS (SELECT {_ID} AS id, nullif(regexp_extract(ans, '\\{{\"status\": \"(\\w+)\"[^{{}}]*\\}}[\\s`]*$', 1), '') AS status, CASE WHEN regexp_matches(res, '(?i)\\b\\d+ (?:failed|errors?)\\b|\\bFAILED\\b') THEN 'red' WHEN regexp_matches(res, '(?i)\\b\\d+ passed\\b') THEN 'green' END AS suite FROM r), s AS (SELECT *, CASE status WHEN 'complete' THEN 'complete' WHEN 'partial' THEN 'partial' WHEN 'failed' THEN 'failed' WHEN 'blocked' THEN 'failed' END AS said FROM c) SELECT id, status, suite, CASE WHEN said = 'failed' OR suite = 'red' THEN 'verified-failed' WHEN said = 'complete' AND suite = 'green' THEN 'verified-complete' WHEN said = 'partial' AND suite = 'green' THEN 'verified-partial' ELSE 'unverified' END AS class FROM s",
+    "classified": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY source_session, episode, kind ORDER BY rn DESC) AS back FROM {_E} WHERE episode >= 0), r AS (SELECT source_session, episode, coalesce(string_agg(coalesce(content, ''), chr(10) ORDER BY rn) FILTER (kind = 'tool_result' AND back <= 5), '') AS res, arg_max(coalesce(content, ''), rn) FILTER (role = 'assistant' AND kind = 'text') AS ans FROM e GROUP BY 1, 2), c AS (SELECT {_ID} AS id, nullif(regexp_extract(ans, '\\{{\"status\": \"(\\w+)\"[^{{}}]*\\}}[\\s`]*$', 1), '') AS status, CASE WHEN regexp_matches(res, '(?i)\\b\\d+ (?:failed|errors?)\\b|\\bFAILED\\b') THEN 'red' WHEN regexp_matches(res, '(?i)\\b\\d+ passed\\b') THEN 'green' END AS suite FROM r), s AS (SELECT *, CASE status WHEN 'complete' THEN 'complete' WHEN 'partial' THEN 'partial' WHEN 'failed' THEN 'failed' WHEN 'blocked' THEN 'failed' END AS said FROM c) SELECT id, status, suite, CASE WHEN said = 'failed' OR suite = 'red' THEN 'verified-failed' WHEN said = 'complete' AND suite = 'green' THEN 'verified-complete' WHEN said = 'partial' AND suite = 'green' THEN 'verified-partial' ELSE 'unverified' END AS class FROM s",
     "class_counts": "SELECT coalesce(class, 'none') AS class, batch_no, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM episodes) GROUP BY 1, 2",
     "training_admission": "SELECT id, CASE class WHEN 'verified-failed' THEN 'negative' ELSE 'train' END AS pool FROM (SELECT DISTINCT ON (id) * FROM episodes) WHERE class IN ('verified-complete', 'verified-partial', 'verified-failed')",
     "tool_names": "SELECT json_extract_string(content, '$.name') AS tool, count(*) AS n FROM (SELECT DISTINCT ON (turn_id) * FROM turns) WHERE kind = 'tool_call' GROUP BY 1",
     "byte_pairs": f"SELECT * FROM {_PAIRS} ORDER BY n DESC, a, b LIMIT 1",
     "pair_frequencies": f"SELECT * FROM {_PAIRS}",
     "jsonl_scan": "SELECT count(*) FILTER (event_id % 100 NOT IN (3, 5, 7)) AS records, count(*) FILTER (event_id % 100 = 7) AS blank, count(*) FILTER (event_id % 100 = 3) AS errors, count(*) FILTER (event_id % 100 = 5) AS not_objects, CAST(0 AS BIGINT) AS oversized FROM events",
-    "shard_manifest": "SELECT true AS all_match, count(*) AS records FROM documents",
+    "shard_manifest": "SELECT count(*) AS records, CAST(sum(strlen(text)) AS BIGINT) AS bytes, true AS all_match, CAST(0 AS INTEGER) AS bad, false AS altered_match, CAST(1 AS INTEGER) AS altered_bad FROM documents",
     "token_stream": "SELECT CAST(user_id % 3 AS VARCHAR) AS shard, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1",
     "openmetrics": "SELECT event_type, count(*)::DOUBLE AS value FROM events GROUP BY 1",
-    "fact_history": "SELECT event_type AS fact, round(arg_max(value, event_id), 6) AS value, true AS intact FROM events WHERE event_id % 10 = 0 GROUP BY 1",
+    "fact_history": "WITH e AS (SELECT *, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) SELECT event_type AS fact, round(arg_max(value, event_id), 6) AS value, true AS intact, count(*) FILTER (before % 1000 = 7) AS broken FROM e GROUP BY 1",
     "preflight": "WITH c AS (SELECT event_type, CASE WHEN avg(value) > 49 THEN 'pass' ELSE 'fail' END AS v, count(*) % 2 = 0 AS flap FROM events GROUP BY 1) SELECT claim, CASE WHEN v IS NULL THEN 'fail' WHEN flap THEN 'unverified' ELSE v END AS verdict FROM (VALUES ('click'), ('view'), ('purchase'), ('missing')) r(claim) LEFT JOIN c ON claim = event_type",
     "rewards": "WITH s AS (SELECT event_id, value, list_transform(range(event_id % 5 + 1), lambda i: 'v' || i) AS b, list_transform(range(event_id % 7 + 1), lambda i: 'v' || (i * 2)) AS f FROM events) SELECT event_id, round((value > 50)::INT + 0.5 * (1 - len(list_intersect(b, f)) / len(b)::DOUBLE) - 0.25 * least(len(f) - len(list_intersect(f, b)), 4) / 4 - (value > 80)::INT, 6) AS reward FROM s",
 }

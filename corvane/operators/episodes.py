@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: How far from the end of a text a trailing contract is looked for, in characters.
-TAIL = 64_000
 #: Words of suites that ran; the red ones decide over the green ones.
 GREEN = r"(?i)\b\d+ passed\b"
 RED = r"(?i)\b\d+ (?:failed|errors?)\b|\bFAILED\b"
@@ -55,7 +53,7 @@ def trailing_status(text: str | None) -> str | None:
     """``status`` of the last top-level JSON object, if only blanks or a fence follow it."""
     if not text:
         return None
-    s = re.sub(r"(?:\s|`{3,}[\w-]*)+$", "", text[-TAIL:])
+    s = re.sub(r"(?:\s|`{3,}[\w-]*)+$", "", text)
     if not s.endswith("}"):
         return None
     decoder, at = json.JSONDecoder(), s.find("{")
@@ -100,6 +98,64 @@ def admitted(df: DataFrame, cls: str = "class") -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(cls).isin("verified-complete", "verified-partial")), df.where(F.col(cls) == "verified-failed")
 
 
+# --- events to turns --------------------------------------------------------------------------------
+
+#: Longest turn taken, in characters (fixed value).
+MAX_TURN = 200_000
+_TURNS = T.StructType([T.StructField("prompt", T.BooleanType()), T.StructField("turns", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("role", "kind", "content")])))])
+
+
+def _flat(block: object) -> str:
+    """Text of a block: its own, or that of the blocks it holds, one a line."""
+    if isinstance(block, str):
+        return block
+    if isinstance(block, dict):
+        for held in (block.get("text"), block.get("content")):
+            if isinstance(held, str):
+                return held
+            if isinstance(held, list) and (inner := "\n".join(filter(None, map(_flat, held)))):
+                return inner
+    return ""
+
+
+def event_of(raw: str | None) -> tuple[bool, list[tuple[str, str, str]]]:
+    """(opens an episode, turns) of one JSON event; what is no event gives no turns.
+
+    A user's event opens an episode if it is not meta and says something, and brings no tool result.
+    """
+    try:
+        event = json.loads(raw) if raw else None
+    except (ValueError, RecursionError):
+        event = None
+    message = event.get("message") if isinstance(event, dict) else None
+    content = message.get("content") if isinstance(message, dict) else None
+    who = event.get("type") if isinstance(event, dict) else None
+    if who == "user" and isinstance(content, str):
+        content = [{"type": "text", "text": content}]
+    turns: list[tuple[str, str, str]] = []
+    for block in content if isinstance(content, list) else ():
+        kind = block.get("type") if isinstance(block, dict) else None
+        said = str(block.get("text", "")) if kind == "text" else ""
+        if said.strip() and who in ("user", "assistant"):
+            turns.append((who, "text", said[:MAX_TURN]))
+        elif kind == "tool_result" and who == "user":
+            inner = block.get("content")
+            flat = "\n".join(filter(None, map(_flat, inner))) if isinstance(inner, list) else _flat(inner)
+            turns.append(("tool", "tool_result", flat[:MAX_TURN]))
+        elif kind == "tool_use" and who == "assistant":
+            call = json.dumps({"name": str(block.get("name", "")), "input": block.get("input", {})}, ensure_ascii=False, sort_keys=True)
+            turns.append(("assistant", "tool_call", call[:MAX_TURN]))
+    kinds = {k for _, k, _ in turns}
+    return who == "user" and not event.get("isMeta") and kinds == {"text"}, turns
+
+
+@F.pandas_udf(_TURNS)
+def parsed_event(s: pd.Series) -> pd.DataFrame:
+    """prompt and turns of JSON events."""
+    got = [event_of(x) for x in s]
+    return pd.DataFrame({"prompt": [p for p, _ in got], "turns": [[dict(zip(("role", "kind", "content"), t)) for t in ts] for _, ts in got]})
+
+
 # --- structure of answers with thinking -----------------------------------------------------------
 
 _TAG = re.compile(r"</?think>|</?tool_call>|</?answer>")

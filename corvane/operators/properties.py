@@ -101,11 +101,13 @@ def agreement(a: DataFrame, b: DataFrame, rule: str, verdict: str) -> DataFrame:
 def table_of_verdicts(events: DataFrame) -> DataFrame:
     """Every column template over each event: (event_id, template, verdict)."""
     v, k = F.col("value"), F.get_json_object("props", "$.k").cast("double")
+    kind, third = F.col("event_type"), F.col("event_id") % 3
+    seen = F.when(third == 0, F.substring(kind, 1, 3)).when(third == 1, "click").otherwise(kind)
     rows = {
-        "declared_equals_actual": declared_equals_actual(k, F.round(k), 0.0), "bounds": bounds(v, F.lit(5.0), F.lit(95.0)),
-        "conservation": conservation([v, k], [v + k], 1e-9), "identity": identity(F.col("event_type"), F.col("event_type")),
-        "reversibility": reversibility(v, v), "differential": differential(v, k, 50.0), "metamorphic": metamorphic(v, v * 2, 2.0, 1e-9),
-        "safety": safety(v, v > 90), "freshness": freshness(F.col("ts"), F.lit("2100-01-01").cast("timestamp"), 1e7),
+        "declared_equals_actual": declared_equals_actual(k, F.round(v), 5.0), "bounds": bounds(v, F.lit(5.0), F.lit(95.0)),
+        "conservation": conservation([v, k], [F.lit(100.0)], 40.0), "identity": identity(kind, seen),
+        "reversibility": reversibility(v, F.round(v, 1)), "differential": differential(v, k, 50.0), "metamorphic": metamorphic(v, k, 2.0, 20.0),
+        "safety": safety(v, v > 90), "freshness": freshness(F.col("ts"), F.lit("2024-01-31").cast("timestamp"), 360.0),
     }
     wide = events.select("event_id", *[c.alias(n) for n, c in rows.items()])
     return wide.select("event_id", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in rows]), F.array(*[F.col(n) for n in rows]))).alias("template", "verdict"))

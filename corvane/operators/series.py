@@ -17,9 +17,12 @@ def numbered(df: DataFrame, source: str, *order: str, out: str = "i") -> DataFra
 
 
 def tail(df: DataFrame, source: str, n: int, *order: str) -> DataFrame:
-    """The last ``n`` rows of each source."""
+    """The last ``n`` rows of each source; each of 16 salted parts gives its own last rows first."""
     w = Window.partitionBy(source).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    own = Window.partitionBy(source, "_p").orderBy(*[F.desc(c) for c in order])
+    salted = df.withColumn("_p", F.pmod(F.xxhash64(*order), F.lit(16)))
+    first = salted.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= n).drop("_r", "_p")
+    return first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -111,15 +114,27 @@ def consecutive(df: DataFrame, source: str, hit: Column, n: int, *order: str) ->
     return x.groupBy(source, "_g").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= n).drop("_g")
 
 
+def previous(df: DataFrame, source: str, column: str, out: str, *order: str) -> DataFrame:
+    """``df`` with ``out``: ``column`` of the row before in its source; no task holds a source."""
+    n = numbered(df, source, *order, out="_at")
+    before = n.select(F.col(source).alias("_s"), (F.col("_at") + 1).alias("_p"), F.col(column).alias(out))
+    return n.join(before, n[source].eqNullSafe(before["_s"]) & (n["_at"] == before["_p"]), "left").drop("_s", "_p", "_at")
+
+
+def _digest_before(df: DataFrame, source: str, raw: str, seq: str, out: str) -> DataFrame:
+    line = df.withColumn("_digest", F.sha2(F.concat(F.col(raw), F.lit("\n")), 256))
+    return previous(line, source, "_digest", out, seq).drop("_digest")
+
+
 def chain_breaks(df: DataFrame, source: str, raw: str, prev: str, seq: str) -> DataFrame:
     """(source, intact, broken): each record must hold the SHA-256 of the line before it, the first none."""
-    want = F.sha2(F.concat(F.lag(raw).over(Window.partitionBy(source).orderBy(seq)), F.lit("\n")), 256)
-    return df.withColumn("_ok", want.eqNullSafe(F.col(prev))).groupBy(source).agg(F.bool_and("_ok").alias("intact"), F.count_if(~F.col("_ok")).alias("broken"))
+    x = _digest_before(df, source, raw, seq, "_want").withColumn("_ok", F.col("_want").eqNullSafe(F.col(prev)))
+    return x.groupBy(source).agg(F.bool_and("_ok").alias("intact"), F.count_if(~F.col("_ok")).alias("broken"))
 
 
 def chained(df: DataFrame, source: str, raw: str, seq: str, out: str = "prev_sha256") -> DataFrame:
     """``df`` with the digest of the line before each record."""
-    return df.withColumn(out, F.sha2(F.concat(F.lag(raw).over(Window.partitionBy(source).orderBy(seq)), F.lit("\n")), 256))
+    return _digest_before(df, source, raw, seq, out)
 
 
 def histogram_quantile(df: DataFrame, series: list[str], le: str, cum: str, q: float) -> DataFrame:

@@ -15,6 +15,12 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.where(F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") < 1e9))
 
 
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    """Every row once, whatever it holds."""
+    return table(spark, d, "metrics").dropDuplicates(["row_id"])
+
+
+_A = "(SELECT DISTINCT ON (row_id) * FROM metrics)"
 _M = "(SELECT * FROM (SELECT DISTINCT ON (row_id) * FROM metrics) WHERE loss IS NOT NULL AND NOT isnan(loss) AND abs(loss) < 1e9)"
 
 
@@ -51,12 +57,14 @@ def block_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changepoints(spark: SparkSession, d: str) -> DataFrame:
-    b = series.block_medians(_metrics(spark, d), "run_id", "tokens_per_sec", "segment", "logged_at", "row_id", size=10)
-    return series.changepoints(b.where(~F.isnan("med")), "run_id", recent=3, gap=1, reference=6).select("run_id", "start", "stop", "direction", F.round("delta", 4).alias("delta"))
+    """Lasting changes of loss at the reference's parameters, over all rows with a possible reading."""
+    m = _logged(spark, d).where("loss > 0 AND loss < double('infinity')")
+    b = series.block_medians(m, "run_id", "loss", "segment", "logged_at", "row_id")
+    return series.changepoints(b, "run_id").select("run_id", "start", "stop", "direction", F.round("delta", 4).alias("delta"))
 
 
 def unexplained_jumps(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d)
+    m = _logged(spark, d).where("step IS NOT NULL")
     events = m.select("row_id", "step")
     ledger = m.where("step % 3000 = 0 AND step BETWEEN 0 AND 1000000").select(F.col("step").alias("at")).distinct()
     return series.unexplained(events, ledger, "step", "at", 400).select("row_id")
@@ -72,7 +80,7 @@ def latest_event(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_steps(spark: SparkSession, d: str) -> DataFrame:
-    return series.last_wins(_metrics(spark, d).select("run_id", "step", "segment", "logged_at", "row_id"), ["run_id", "step"], "segment", "logged_at", "row_id").select("run_id", "step", "row_id")
+    return series.last_wins(_logged(spark, d).select("run_id", "step", "segment", "logged_at", "row_id"), ["run_id", "step"], "segment", "logged_at", "row_id").select("run_id", "step", "row_id")
 
 
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +92,7 @@ def hash_chain(spark: SparkSession, d: str) -> DataFrame:
 
 def entropy_collapse(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    return series.consecutive(e, "event_type", F.col("value") > 80, 3, "ts", "event_id").select("event_type", F.col("start").cast("long").alias("start"), "length")
+    return series.consecutive(e, "event_type", F.col("value") > 80, 2, "ts", "event_id").select("event_type", F.col("start").cast("long").alias("start"), "length")
 
 
 def dual_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +153,10 @@ def range_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_spend(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d).withColumn("hours", F.when(F.col("step_seconds") < 1e6, F.col("step_seconds") / 3600.0))
-    return m.groupBy("run_id").agg(F.round(F.sum("hours") * 1.5, 4).alias("spend"))
+    """The last reading of the running counter times the rate."""
+    m = _logged(spark, d).where("step IS NOT NULL")
+    last = F.max_by("step", F.struct("segment", "logged_at", "row_id"))
+    return m.groupBy("run_id").agg((last * 1.5).alias("spend"))
 
 
 def session_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +258,7 @@ def significance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mfu(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d).where("tokens_per_sec > 0 AND tokens_per_sec < 1e9")
+    m = _logged(spark, d).where("tokens_per_sec > 0 AND tokens_per_sec < double('infinity')")
     return m.groupBy("run_id").agg(F.round(F.median("tokens_per_sec") * 6 * 1.2e9 / 1e15, 6).alias("mfu"), F.round(1e9 / F.median("tokens_per_sec") / 3600, 4).alias("eta_hours"))
 
 
@@ -285,12 +295,21 @@ SQL = {
     "variation_tolerance": f"SELECT run_id, round(CASE WHEN count(loss) >= 2 AND avg(loss) <> 0 THEN stddev_pop(loss) / abs(avg(loss)) END, 6) AS cv, round(CASE WHEN count(loss) >= 2 AND avg(loss) <> 0 THEN 2 * stddev_pop(loss) / abs(avg(loss)) END, 6) AS tolerance FROM {_NUM} WHERE back <= 50 GROUP BY 1",
     "robust_scales": "SELECT event_type, round(1.4826 * mad(value), 6) AS scale FROM events GROUP BY 1",
     "block_medians": f"SELECT run_id, i // 25 AS block, round(median(loss), 6) AS med FROM {_NUM} GROUP BY 1, 2 HAVING count(*) = 25",
-    "unexplained_jumps": f"WITH m AS {_M}, l AS (SELECT DISTINCT step AS pt FROM m WHERE step % 3000 = 0 AND step BETWEEN 0 AND 1000000) SELECT row_id FROM m WHERE step % 97 = 0 AND step BETWEEN 0 AND 1000000 AND NOT EXISTS (SELECT 1 FROM l WHERE abs(pt - step) <= 400)",
+    "changepoints": f"WITH n AS (SELECT run_id, loss AS v, row_number() OVER (PARTITION BY run_id ORDER BY {_ORD}) - 1 AS i FROM {_A} WHERE loss > 0 AND NOT isnan(loss) AND NOT isinf(loss)), "
+    "b AS (SELECT run_id, i // 25 AS block, median(v) AS med FROM n GROUP BY 1, 2 HAVING count(*) = 25), d AS (SELECT *, med - lag(med) OVER (PARTITION BY run_id ORDER BY block) AS d FROM b), s AS (SELECT run_id, 1.4826 * mad(d) / sqrt(2) AS s FROM d GROUP BY 1), "
+    "x AS (SELECT run_id, block, list(med) OVER (PARTITION BY run_id ORDER BY block ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS nw, list(med) OVER (PARTITION BY run_id ORDER BY block ROWS BETWEEN 19 PRECEDING AND 8 PRECEDING) AS rf FROM b), "
+    "y AS (SELECT run_id, block, list_median(nw) - list_median(rf) AS delta FROM x WHERE len(nw) = 6 AND len(rf) = 12), "
+    "f AS (SELECT run_id, block, delta, sign(delta) AS sg FROM y JOIN s USING (run_id) WHERE abs(delta) >= 0.10 AND s > 0 AND abs(delta / (s * sqrt(1 / 6.0 + 1 / 12.0))) >= 3.5), "
+    "g AS (SELECT *, CASE WHEN block - lag(block) OVER w <= 1 AND sg = lag(sg) OVER w THEN 0 ELSE 1 END AS brk FROM f WINDOW w AS (PARTITION BY run_id ORDER BY block)), k AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY block) AS k FROM g), "
+    "r AS (SELECT run_id, min(block) AS start, max(block) AS stop, any_value(sg) AS sg, arg_max(delta, abs(delta)) AS delta FROM k GROUP BY run_id, k HAVING count(*) >= 3), "
+    "e AS (SELECT *, CASE WHEN start - lag(stop) OVER w < 3 AND sg = lag(sg) OVER w THEN 0 ELSE 1 END AS brk FROM r WINDOW w AS (PARTITION BY run_id ORDER BY start)), m AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY start) AS k FROM e) "
+    "SELECT run_id, min(start) AS start, max(stop) AS stop, CASE WHEN any_value(sg) > 0 THEN 'up' ELSE 'down' END AS direction, round(arg_max(delta, abs(delta)), 4) AS delta FROM m GROUP BY run_id, k",
+    "unexplained_jumps": f"WITH m AS (SELECT * FROM {_A} WHERE step IS NOT NULL), l AS (SELECT DISTINCT step AS pt FROM m WHERE step % 3000 = 0 AND step BETWEEN 0 AND 1000000) SELECT row_id FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE pt BETWEEN step - 400 AND step + 400)",
     "flapping": "WITH e AS (SELECT event_type, ts, event_id, CASE WHEN value > 50 THEN 'fail' ELSE 'pass' END AS state, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events), x AS (SELECT event_type, CASE WHEN state <> lag(state) OVER (PARTITION BY event_type ORDER BY ts, event_id) THEN 1 ELSE 0 END AS c FROM e WHERE back <= 10) SELECT event_type, CAST(sum(c) AS BIGINT) AS switches, sum(c) >= 3 AS flapping FROM x GROUP BY 1",
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
-    "duplicate_steps": f"SELECT run_id, step, row_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY segment DESC, logged_at DESC, row_id DESC) AS rn FROM {_M}) WHERE rn = 1",
+    "duplicate_steps": f"SELECT run_id, step, row_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY segment DESC, logged_at DESC, row_id DESC) AS rn FROM {_A}) WHERE rn = 1",
     "hash_chain": "WITH r AS (SELECT event_type, event_id, event_id || '|' || event_type || '|' || props AS raw FROM events), c AS (SELECT *, sha256(lag(raw) OVER w || chr(10)) AS want FROM r WINDOW w AS (PARTITION BY event_type ORDER BY event_id)), p AS (SELECT *, CASE WHEN event_id % 1000 = 7 THEN repeat('0', 64) ELSE want END AS prev FROM c) SELECT event_type, bool_and(want IS NOT DISTINCT FROM prev) AS intact, count(*) FILTER (want IS DISTINCT FROM prev) AS broken FROM p GROUP BY 1",
-    "entropy_collapse": "WITH x AS (SELECT event_type, value > 80 AS h, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events), g AS (SELECT event_type, i, i - row_number() OVER (PARTITION BY event_type ORDER BY i) AS g FROM x WHERE h) SELECT event_type, min(i) AS start, count(*) AS length FROM g GROUP BY event_type, g HAVING count(*) >= 3",
+    "entropy_collapse": "WITH x AS (SELECT event_type, value > 80 AS h, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events), g AS (SELECT event_type, i, i - row_number() OVER (PARTITION BY event_type ORDER BY i) AS g FROM x WHERE h) SELECT event_type, min(i) AS start, count(*) AS length FROM g GROUP BY event_type, g HAVING count(*) >= 2",
     "dual_windows": f"SELECT run_id, win, round(median(loss), 6) AS loss, count(*) AS n FROM (SELECT run_id, 'first_50' AS win, loss FROM {_NUM} WHERE i < 50 UNION ALL SELECT run_id, 'current', loss FROM {_NUM} WHERE back <= 50) GROUP BY 1, 2",
     "rising_points": f"WITH b AS (SELECT run_id, i // 20 AS block, median(loss) AS med FROM {_NUM} GROUP BY 1, 2 HAVING count(*) = 20), l AS (SELECT *, lag(med, 1) OVER w AS a, lag(med, 2) OVER w AS b, lag(med, 3) OVER w AS c FROM b WINDOW w AS (PARTITION BY run_id ORDER BY block)) SELECT run_id, block FROM l WHERE med > a AND a > b AND b > c",
     "relative_drift": f"SELECT run_id, round(max(loss) FILTER (back = 1) / median(loss) - 1, 6) AS drift, max(loss) FILTER (back = 1) / median(loss) - 1 > 0.03 AS alarm FROM {_NUM} WHERE back <= 1000 GROUP BY 1",
@@ -300,21 +319,22 @@ SQL = {
     "id_collisions": "SELECT count(*) AS collisions FROM (SELECT path FROM documents WHERE path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT repo) > 1)",
     "coverage": "SELECT coalesce(int_score, 0) AS score, round(count(lang) / count(*)::DOUBLE, 6) AS lang_share, round(count(source) / count(*)::DOUBLE, 6) AS source_share, round(count(repo) / count(*)::DOUBLE, 6) AS repo_share, round(count(path) / count(*)::DOUBLE, 6) AS path_share FROM documents GROUP BY 1",
     "range_candidates": f"SELECT run_id, count(loss) AS n, round(min(loss) - (max(loss) - min(loss)) * 0.1, 6) AS lo, round(max(loss) + (max(loss) - min(loss)) * 0.1, 6) AS hi FROM {_M} GROUP BY 1 HAVING count(loss) >= 20",
-    "running_spend": f"SELECT run_id, round(sum(CASE WHEN step_seconds < 1e6 THEN step_seconds / 3600.0 END) * 1.5, 4) AS spend FROM {_M} GROUP BY 1",
+    "running_spend": f"SELECT run_id, CAST(any_value(step) * 1.5 AS DOUBLE) AS spend FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY segment DESC, logged_at DESC, row_id DESC) AS back FROM {_A} WHERE step IS NOT NULL) WHERE back = 1 GROUP BY 1",
     "session_overlap": "WITH e AS (SELECT event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(trunc(value * 60e6) AS BIGINT) AS e FROM events), x AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e WHERE e > s), i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM x), u AS (SELECT event_type, k, max(e) - min(s) AS len FROM i GROUP BY 1, 2) SELECT event_type, count(*) AS islands, CAST(sum(len) AS BIGINT) AS covered FROM u GROUP BY 1",
     "interval_common": "WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 1800 AS e FROM events) SELECT a.user_id, count(*) AS n, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS seconds FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND least(a.e, b.e) > greatest(a.s, b.s) GROUP BY 1",
     "stabbed": "WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS pt FROM events), s AS (SELECT user_id, pt AS s, pt + 600 + event_id % 7 * 100 AS e, 'span-' || event_id AS label FROM e WHERE event_id % 5 = 0), j AS (SELECT p.event_id, label, row_number() OVER (PARTITION BY p.event_id ORDER BY e - s, label) AS rn FROM e p LEFT JOIN s ON p.user_id = s.user_id AND p.pt BETWEEN s.s AND s.e WHERE p.event_id % 5 <> 0) SELECT event_id, coalesce(label, 'none') AS label FROM j WHERE rn = 1",
-    "unique_reports": "WITH p AS (SELECT DISTINCT id, epoch(try_strptime(regexp_extract(started_at, '^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ$'), '%Y-%m-%dT%H:%M:%SZ')) AS s FROM episodes), v AS (SELECT floor(epoch(ts)) AS pt, event_type FROM events WHERE event_id % 50 = 0), j AS (SELECT id, count(pt) AS n, min(event_type) AS st FROM p LEFT JOIN v ON pt BETWEEN floor(s) - 3600 AND floor(s) + 3600 GROUP BY 1) SELECT id, CASE WHEN n = 1 THEN st END AS status, n > 1 AS ambiguous FROM j",
+    "unique_reports": "WITH p AS (SELECT DISTINCT ON (id) id, floor(epoch(TRY_CAST(started_at AS TIMESTAMPTZ))) AS s FROM episodes), v AS (SELECT floor(epoch(ts)) AS pt, event_type FROM events), j AS (SELECT id, count(pt) AS n, min(event_type) AS st FROM p LEFT JOIN v ON pt BETWEEN s - 3600 AND s + 3600 GROUP BY 1) SELECT id, CASE WHEN n = 1 THEN st END AS status, n > 1 AS ambiguous FROM j",
     "bounds_verdicts": f"SELECT * FROM {_BV}",
     "property_verdicts": "WITH e AS (SELECT event_id, event_type, ts, value AS v, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events), t AS ("
     + " UNION ALL ".join(
         f"SELECT event_id, '{n}' AS template, CASE WHEN ({known}) IS NOT TRUE OR ({ok}) IS NULL THEN 'unverified' WHEN {ok} THEN 'pass' ELSE 'fail' END AS verdict FROM e"
         for n, known, ok in (
-            ("declared_equals_actual", "k IS NOT NULL", "abs(k - round(k)) <= 0"), ("bounds", "v IS NOT NULL", "v >= 5 AND v <= 95"), ("conservation", "v + k IS NOT NULL", "abs(v + k - (v + k)) <= 1e-9"), ("identity", "event_type IS NOT NULL", "event_type = event_type"),
-            ("reversibility", "v IS NOT NULL", "v = v"), ("differential", "v IS NOT NULL AND k IS NOT NULL", "v = k OR abs(v - k) <= 50"), ("metamorphic", "v IS NOT NULL", "abs(v * 2 - v * 2) <= 1e-9"), ("safety", "v IS NOT NULL", "NOT v > 90"), ("freshness", "ts IS NOT NULL", "date_diff('second', ts, TIMESTAMP '2100-01-01') / 3600.0 <= 1e7"),
+            ("declared_equals_actual", "k IS NOT NULL AND v IS NOT NULL", "abs(k - round(v)) <= 5"), ("bounds", "v IS NOT NULL", "v >= 5 AND v <= 95"), ("conservation", "v + k IS NOT NULL", "abs(v + k - 100) <= 40"),
+            ("reversibility", "v IS NOT NULL", "v = round(v, 1)"), ("differential", "v IS NOT NULL AND k IS NOT NULL", "v = k OR abs(v - k) <= 50"), ("metamorphic", "v IS NOT NULL AND k IS NOT NULL", "abs(k - v * 2) <= 20"), ("safety", "v IS NOT NULL", "NOT v > 90"), ("freshness", "ts IS NOT NULL", "(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 <= 360"),
         )
     )
-    + ") SELECT * FROM t",
+    + " UNION ALL SELECT event_id, 'identity', CASE WHEN event_type IS NULL THEN 'unverified' WHEN event_type = s THEN 'pass' WHEN length(event_type) <> length(s) AND (starts_with(event_type, s) OR starts_with(s, event_type)) THEN 'truncated' ELSE 'fail' END "
+    "FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN event_type[1:3] WHEN 1 THEN 'click' ELSE event_type END AS s FROM e)) SELECT * FROM t",
     "gate": f"SELECT bool_and(verdict = 'pass') AS open, count(*) FILTER (verdict = 'fail') AS failed, count(*) FILTER (verdict = 'unverified') AS unverified FROM {_BV}",
     "card_status": f"SELECT CASE WHEN bool_and(verdict = 'pass') THEN 'v1' ELSE 'v1-draft' END AS status, list_sort(coalesce(list(run_id) FILTER (verdict <> 'pass'), [])) AS reasons FROM {_BV}",
     "topk_embeddings": "SELECT vec_id, pos, score FROM (SELECT vec_id, pos, round(x::DOUBLE, 5) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos) AS rn FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)) WHERE rn <= 5",
@@ -325,6 +345,6 @@ SQL = {
     "leave_one_out": "SELECT event_id, round((sum(w * value) OVER (PARTITION BY user_id) - w * value) / nullif(sum(w) OVER (PARTITION BY user_id) - w, 0), 6) AS baseline FROM (SELECT *, length(event_type)::DOUBLE AS w FROM events)",
     "calibration": "SELECT user_id, round(avg((value > 50)::INT), 6) AS pass_rate, round(stddev_pop(value), 6) AS spread, avg((value > 50)::INT) BETWEEN 0.10 AND 0.90 AS in_corridor FROM events GROUP BY 1",
     "significance": "WITH e AS (SELECT event_type, count(*) AS n, avg((value > 50)::INT) AS p FROM events GROUP BY 1), b AS (SELECT p AS p0 FROM e WHERE event_type = 'click') SELECT event_type, CASE WHEN n < 100 THEN 'too_few' WHEN abs(p - p0) < sqrt(p * (1 - p) / n) THEN 'indistinguishable' ELSE 'different' END AS verdict FROM e, b",
-    "mfu": f"SELECT run_id, round(median(tokens_per_sec) * 6 * 1.2e9 / 1e15, 6) AS mfu, round(1e9 / median(tokens_per_sec) / 3600, 4) AS eta_hours FROM {_M} WHERE tokens_per_sec > 0 AND tokens_per_sec < 1e9 GROUP BY 1",
+    "mfu": f"SELECT run_id, round(median(tokens_per_sec) * 6 * 1.2e9 / 1e15, 6) AS mfu, round(1e9 / median(tokens_per_sec) / 3600, 4) AS eta_hours FROM {_A} WHERE tokens_per_sec > 0 AND NOT isnan(tokens_per_sec) AND NOT isinf(tokens_per_sec) GROUP BY 1",
     "revenue_by_nation": "WITH r AS (SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT n_name, round(r, 2) AS revenue, round(100 * r / sum(r) OVER (), 4) AS percent FROM r",
 }

@@ -59,3 +59,35 @@ def quantization_error(df: DataFrame, key: str, values: str, width: int) -> Data
     q = F.flatten(F.transform(blocks(F.col(values), width), lambda b: quantized(b)))
     off = F.zip_with(F.col(values), q, lambda x, y: x.cast("double") - y)
     return df.select(key, F.try_divide(l2(off), l2(F.col(values))).alias("error"))
+
+
+#: Greatest E4M3 value, and the bounds between neighbouring E2M1 magnitudes with the magnitude below (fixed values).
+E4M3_MAX = 448.0
+E2M1 = ((0.25, 0.0), (0.75, 0.5), (1.25, 1.0), (1.75, 1.5), (2.5, 2.0), (3.5, 3.0), (5.0, 4.0))
+
+
+def e4m3(x: Column) -> Column:
+    """A positive number rounded to three binary digits after the first, half to even, saturated; 0 stays 0."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(x)), F.lit(-6)) - 3)
+    return F.when(x > 0, F.least(F.rint(x / unit) * unit, F.lit(E4M3_MAX))).otherwise(F.lit(0.0))
+
+
+def e2m1(x: Column) -> Column:
+    """The nearest E2M1 value, the smaller magnitude where two are as near."""
+    a, near = F.abs(x), F.lit(6.0)
+    for bound, level in reversed(E2M1):
+        near = F.when(a <= bound, F.lit(level)).otherwise(near)
+    return F.signum(x) * near
+
+
+def e2m1_block(block: Column) -> Column:
+    """A block quantized to E2M1 under one E4M3 scale that carries its greatest magnitude to 6, and back."""
+    scale = F.transform(F.array(e4m3(F.array_max(F.transform(block, lambda x: F.abs(x.cast("double")))) / 6.0)), lambda s: s)
+    return F.flatten(F.transform(scale, lambda s: F.transform(block, lambda x: F.when(s > 0, e2m1(x.cast("double") / s) * s).otherwise(F.lit(0.0)))))
+
+
+def e2m1_error(df: DataFrame, key: str, values: str, width: int = 16) -> DataFrame:
+    """(key, error): relative L2 error of blocks of ``width`` in E2M1."""
+    q = F.flatten(F.transform(blocks(F.col(values), width), e2m1_block))
+    off = F.zip_with(F.col(values), q, lambda x, y: x.cast("double") - y)
+    return df.select(key, (l2(off) / (l2(F.col(values)) + 1e-8)).alias("error"))

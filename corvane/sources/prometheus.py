@@ -24,3 +24,10 @@ def render(df: DataFrame) -> DataFrame:
     pairs = F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit('="'), F.replace(F.replace(F.replace(e["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"')))
     body = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.lit(""))
     return df.where("value IS NOT NULL").select(F.concat(F.col("name"), body, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def exposition(df: DataFrame, status: str = "status") -> DataFrame:
+    """(at, line) of a closed exposition: numbers of facts whose status is ok, in order of their lines, then ``# EOF``."""
+    lines = render(df.where(F.col(status) == "ok")).select(F.lit(0).alias("at"), "line")
+    end = df.sparkSession.createDataFrame([(1, "# EOF")], "at int, line string")
+    return lines.unionByName(end).orderBy("at", "line")

@@ -32,6 +32,11 @@ def verify(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return manifest.join(now, "file", "left").select("file", "records", F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)).alias("ok"))
 
 
+def bad_shards(verified: DataFrame) -> DataFrame:
+    """(all_match, bad): whether every shard matches, and the names of those that do not."""
+    return verified.agg(F.bool_and("ok").alias("all_match"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("file")))).alias("bad"))
+
+
 def spot_check(spark: SparkSession, path: str, manifest: DataFrame, n: int, seed: int) -> DataFrame:
     """(checked, all_match) over ``n`` shards chosen by hash."""
     some = manifest.orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), "file"), 256)).limit(n)
