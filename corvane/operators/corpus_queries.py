@@ -216,8 +216,13 @@ def coin_flips(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", (tx.coin("task", F.col("item_id"), "salt") < 0.5).alias("heads"))
 
 
+def plan_shares(spark: SparkSession, d: str) -> DataFrame:
+    p = mix.fractions(table(spark, d, "mix_plan").select("plan", "source", "target_share"), "plan", "target_share")
+    return p.select("plan", "source", F.round("target_share", 6).alias("share"))
+
+
 QUERIES = {f.__name__: f for f in (
-    corpus_volume, volume_shares, reject_reasons, pass_share, quality_gate, code_gate, test_marked, path_classes, path_majority, scrub_counts, scrubbed, exact_dedup,
+    plan_shares, corpus_volume, volume_shares, reject_reasons, pass_share, quality_gate, code_gate, test_marked, path_classes, path_majority, scrub_counts, scrubbed, exact_dedup,
     exact_dup_rate, joint_pool_dedup, line_dedup, candidate_merge, near_dup_rate, rededup_is_stable, ngram_leak_report, ngram_clean_documents, holdout_sample,
     ngram_repeat_max, token_entropy, schema_fingerprint, oversampled, share_capped, token_mix, phase_mix, curriculum, packed_sequences, length_batches, weighted_sample,
     windowed_shuffle, corpus_sample, coin_flips,
@@ -235,6 +240,7 @@ def _gram_sql(name: str, key: str, n: int) -> str:
 
 
 SQL = {
+    "plan_shares": "SELECT plan, source, round(CASE WHEN sum(target_share) OVER (PARTITION BY plan) > 1.5 THEN target_share / 100.0 ELSE target_share END, 6) AS share FROM mix_plan",
     "corpus_volume": f"SELECT lang, {SQL_SOURCE} AS src, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS approx_tokens FROM documents GROUP BY 1, 2",
     "volume_shares": f"SELECT src, tokens, round(100.0 * tokens / sum(tokens) OVER (), 6) AS percent FROM (SELECT {SQL_SOURCE} AS src, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents GROUP BY 1)",
     "reject_reasons": f"SELECT {SQL_SOURCE} AS src, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 32 THEN 'too_short' WHEN length(text) > 50000 THEN 'too_long' WHEN path IS NOT NULL AND regexp_matches(path, '(^|/)(\\.git|\\.venv|venv|node_modules|__pycache__)(/|$)|\\.(pem|key|p12|pfx|so|bin|exe|png|jpg)$') THEN 'denied_path' WHEN int_score < 2 THEN 'quality' WHEN NOT {_OK_LIC} THEN 'license' ELSE 'kept' END AS reason, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2",

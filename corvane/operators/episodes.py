@@ -6,10 +6,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.plans.ranking import rank_in_group
+
 #: Words of suites that ran; the red ones decide over the green ones.
 GREEN = r"(?i)\b\d+ passed\b"
 RED = r"(?i)\b\d+ (?:failed|errors?)\b|\bFAILED\b"
@@ -18,9 +20,13 @@ STATUS = {"complete": "complete", "partial": "partial", "failed": "failed", "blo
 
 
 def sessionized(events: DataFrame, session: str, order: list[str], opens: Column) -> DataFrame:
-    """``events`` with ``episode`` (0-based per session, opened by each prompt); events before the first are out."""
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("episode", F.sum(F.coalesce(opens, F.lit(False)).cast("int")).over(w) - 1).where("episode >= 0")
+    """``events`` with ``episode`` (0-based per session, opened by each prompt); events before the first are out.
+
+    The running count comes from a distributed numbering, so no task holds a session.
+    """
+    flagged = events.withColumn("_open", F.coalesce(opens, F.lit(False)).cast("int"))
+    counted = rank_in_group(flagged, session, order, "_at", total="_open", running="_run")
+    return counted.withColumn("episode", F.col("_run").cast("long") - 1).where("episode >= 0").drop("_open", "_at", "_run")
 
 
 def episode_id(session: Column, index: Column) -> Column:

@@ -104,3 +104,10 @@ def sized_sample(df: DataFrame, source: str, key: str, size: str, total: int, sh
     hashed = df.where(F.col(source).isin(*shares)).select(key, source, size, _hashed(seed, key).alias("_h"))
     ranked = rank_in_group(hashed, source, ["_h", key], "_i", total=size, running="_run")
     return ranked.where(F.col("_run") <= share * total).select(key, F.col(source).alias("src"))
+
+
+def fractions(df: DataFrame, group: str, share: str) -> DataFrame:
+    """``df`` with ``share`` as a fraction of 1: shares of a group that add up to more than 1.5 are percent."""
+    total = df.groupBy(F.col(group).alias("_g")).agg(F.sum(share).alias("_t"))
+    j = df.join(total, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return j.withColumn(share, F.when(F.col("_t") > 1.5, F.col(share) / 100.0).otherwise(F.col(share))).drop("_g", "_t")

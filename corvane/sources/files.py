@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,11 +44,21 @@ def lenient_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(file, text) of all files below ``path`` with a known suffix and not blank."""
-    pattern = "(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$"
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(F.col("file").rlike(r"\." + pattern) & F.col("text").rlike(r"\S"))
+def directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, field: str = "text") -> DataFrame:
+    """(file, text) of all files below ``path`` with a known suffix and not blank.
+
+    A ``.jsonl`` file gives a row a record: its ``field``, or the line where that is missing; others one row a file.
+    """
+    lined = [x for x in suffixes if x.startswith("jsonl")]
+    whole = [x for x in suffixes if x not in lined]
+    pick = lambda df, text, ends: df.select(F.col("_metadata.file_path").alias("file"), text.alias("text")).where(F.col("file").rlike(r"\.(" + "|".join(x.replace(".", r"\.") for x in ends) + ")$"))
+    record = F.coalesce(F.get_json_object("value", f"$.{field}"), F.col("value"))
+    parts = []
+    if lined:
+        parts.append(pick(spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.jsonl*"), record, lined))
+    if whole:
+        parts.append(pick(spark.read.text(path, wholetext=True, recursiveFileLookup=True), F.col("value"), whole))
+    return reduce(DataFrame.unionByName, parts).where(F.col("text").rlike(r"\S"))
 
 
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +103,7 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.text(path, lineSep="\x1e").where(F.trim("value") != "")
     lines = F.split(F.trim("value"), "\n")
     head = F.split(lines[0], "\x1f")
-    return r.select(head[0].alias("commit"), head[1].alias("ts"), head[2].alias("subject"), F.filter(F.slice(lines, 2, 1 << 20), lambda x: F.trim(x) != "").alias("files"))
+    return r.select(head[0].alias("commit"), head[1].alias("ts"), head[2].alias("subject"), F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "").alias("files"))
 
 
 def sampler_csv(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:

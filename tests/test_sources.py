@@ -116,3 +116,11 @@ def test_streams(spark, tmp_path):
     q = streams.spend(src(), "id", None).writeStream.format("memory").queryName("spend").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("spend").first()["status"] == "unverified"
+
+
+def test_directory_gives_a_row_a_record(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text": "one"}\n{"text": "two", "k": 1}\n\n{"other": 3}\n')
+    (tmp_path / "b.md").write_text("whole\n\nfile\n")
+    (tmp_path / "c.bin").write_text("no")
+    got = sorted(r["text"] for r in files.directory(spark, f"file://{tmp_path}").collect())
+    assert got == ["one", "two", "whole\n\nfile\n", '{"other": 3}']
