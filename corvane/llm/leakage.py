@@ -51,7 +51,6 @@ _PREFIX = re.compile(
     r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?\S*[ \t]+|\d\d:\d\d:\d\d\S*[ \t]+|(?:user|assistant|tool|system|human|q|a|info|warn|warning|debug|error)[ \t]*[:|>][ \t]*)+",
     re.I,
 )
-_JOINT = re.compile(r"(?<=[^\W_])[^\w\s]+(?=[^\W_])|_")
 
 
 def normal(text: str) -> str:
