@@ -95,6 +95,30 @@ def near_pairs(df: DataFrame, key: str, text: str, shingle: int = 5, bands: int
     return links.union(alike(more)).where(F.col("similarity") >= threshold)
 
 
+def near_prior(df: DataFrame, prior: DataFrame, key: str, text: str, shingle: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8, first: int = 50_000) -> DataFrame:
+    """(key) of candidates alike >= threshold one of the ``first`` prior records by key; candidates never join the index.
+
+    The bound on the prior records is the operator's own: they are the beginning of a stream that is read once.
+    """
+
+    def grams(d: DataFrame, k: str) -> DataFrame:
+        w = d.select(F.col(key).alias(k), tx.words(F.col(text)).alias("w"))
+        # written before the filter, which would else be evaluated with the words inlined
+        g = materialize(w.select(k, F.array_distinct(tx.ngrams(F.col("w"), shingle)).alias(f"g_{k}")), "grams")
+        return g.where(F.size(f"g_{k}") > 0)
+
+    mine, held = grams(df, "k"), grams(prior.orderBy(key).limit(first), "p")
+
+    def keyed(d: DataFrame, k: str) -> DataFrame:
+        signed = materialize(d.select(k, signature(F.col(f"g_{k}"), bands * rows).alias("s")), "signatures")
+        return signed.select(k, F.posexplode(F.array(*[F.xxhash64(F.lit(i), *[F.col("s")[i * rows + j] for j in range(rows)]) for i in range(bands)])).alias("band", "bucket"))
+
+    hit = keyed(mine, "k").join(keyed(held, "p"), ["band", "bucket"]).select("k", "p").distinct()
+    common = F.size(F.array_intersect("g_k", "g_p"))
+    both = hit.join(mine, "k").join(held, "p")
+    return both.where(common / (F.size("g_k") + F.size("g_p") - common) >= threshold).select(F.col("k").alias(key)).distinct()
+
+
 def near_rate(df: DataFrame, key: str, text: str) -> DataFrame:
     """(n_records, n_exact, n_near, rate): records dropped as exact copies, and as near copies of a lesser key."""
     base = exact(df, key, text).agg(F.sum("copies").alias("n_records"), F.count(F.lit(1)).alias("kept"))

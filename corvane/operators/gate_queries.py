@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.tables import table
-from corvane.operators import episodes, gates, properties, reports, vectors
+from corvane.operators import dedup, episodes, gates, properties, reports, vectors
 from corvane.plans.materialize import new_path
-from corvane.sources import facts, files, prometheus
+from corvane.sources import facts, files, prometheus, shards
 
 _SUFFIXES = {"py": "python", "rs": "rust", "c": "c", "cpp": "cpp", "cu": "cuda", "md": "markdown", "yaml": "yaml", "toml": "toml"}
 
@@ -160,6 +160,22 @@ def e2m1_error(spark: SparkSession, d: str) -> DataFrame:
     return vectors.e2m1_error(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.round("error", 5).alias("error"))
 
 
+def near_prior(spark: SparkSession, d: str) -> DataFrame:
+    """Web documents that nearly repeat a document of another source."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return dedup.near_prior(docs.where(_source() == "web"), docs.where(_source() != "web"), "doc_id", "text")
+
+
+def pinned_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """Items in one sorted file, read back in order; the pin is the digest of the file."""
+    path = new_path(spark, "holdout")
+    items = table(spark, d, "eval_items").select("source_path", "text", "item_id")
+    pin = shards.sorted_jsonl(items, path, "source_path", "item_id")
+    again = shards.hashes(spark, path).agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("sha256") == pin).alias("pinned"))
+    back = spark.read.schema("source_path string, text string, item_id long").json(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return back.crossJoin(F.broadcast(again))
+
+
 # --- operators of other modules that had no query -----------------------------------------------------
 
 
@@ -260,7 +276,7 @@ def exposition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    code_languages, card_gate, plugin_lists, snapshot_paths, time_range, queue_order, every_tenth_step, first_records, task_seeds, raw_references, unmet_pins, config_agreement,
+    near_prior, pinned_holdout, code_languages, card_gate, plugin_lists, snapshot_paths, time_range, queue_order, every_tenth_step, first_records, task_seeds, raw_references, unmet_pins, config_agreement,
     mcnemar, mean_pass, sensor_probes, raw_probes, token_window_clean, leak_report, event_turns, e2m1_error, determinism, liveness, monotonic, agreement, mutation_score,
     detection_matrix, divergence, best_checkpoint, sensors_of, derived_fact, directory_scan, log_scan, sampler, git_commits, exposition,
 )}
@@ -273,7 +289,10 @@ _W12 = "array_to_string(w[i:i+11], ' ')"
 _PROSE = "regexp_replace(regexp_replace(text, '\\r', '', 'g'), '\\s', '', 'g')"
 _SAFE = "tokens_per_sec > 0 AND NOT isnan(tokens_per_sec) AND NOT isinf(tokens_per_sec)"
 
+_G5 = "SELECT DISTINCT doc_id, web, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, web, w, unnest(range(1, len(w) - 3)) AS i FROM d)"
 SQL = {
+    "near_prior": f"WITH d AS (SELECT doc_id, {_SRC} = 'web' AS web, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), g AS ({_G5}), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.web AND NOT b.web GROUP BY 1, 2) SELECT DISTINCT x AS doc_id FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c)",
+    "pinned_holdout": "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(1 AS BIGINT) AS files, true AS pinned FROM eval_items",
     "code_languages": "WITH l AS (SELECT CASE regexp_extract(path, '\\.(\\w+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SUFFIXES.items()) + " ELSE 'other' END AS language FROM documents) SELECT language, count(*) AS n, language IN ('python', 'rust', 'c', 'cpp', 'cuda') AS allowed FROM l GROUP BY 1",
     "card_gate": f"SELECT doc_id FROM documents WHERE {_SRC} IN ('adr', 'card', 'note', 'skill', 'run_report') AND int_score IN (3, 4, 5) AND starts_with(text, '# ')",
     "plugin_lists": f"SELECT {_SRC} AS source, count(*) AS n, coalesce({_SRC} IN (SELECT lower(trim(source)) FROM mix_plan WHERE lower(trim(source)) <> 'web'), false) AS written FROM documents GROUP BY 1",

@@ -57,7 +57,7 @@ def block_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changepoints(spark: SparkSession, d: str) -> DataFrame:
-    """Lasting changes of loss at the reference's parameters, over all rows with a possible reading."""
+    """Lasting changes of loss at the standard parameters, over all rows with a possible reading."""
     m = _logged(spark, d).where("loss > 0 AND loss < double('infinity')")
     b = series.block_medians(m, "run_id", "loss", "segment", "logged_at", "row_id")
     return series.changepoints(b, "run_id").select("run_id", "start", "stop", "direction", F.round("delta", 4).alias("delta"))

@@ -18,11 +18,11 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the setting is absent in local mode (tests)."""
+    """The shared folder of the session; a temporary one only where the setting is absent and all runs on one machine (tests)."""
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{_KEY} must name a shared folder")
     app = spark.sparkContext.applicationId
     if app not in _local:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,30 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def write(df: DataFrame, path: str, rows: int) -> DataFrame:
-    """Write shards of at most ``rows`` records, committed as a whole; manifest (file, sha256, bytes, records)."""
+def config_digest(options: dict) -> str:
+    return hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()
+
+
+def refuse_changed(manifest: DataFrame, options: dict) -> None:
+    """An error if the shards of the manifest were written under other options."""
+    other = manifest.where(~F.col("config").eqNullSafe(F.lit(config_digest(options))))
+    if other.limit(1).take(1):
+        raise ValueError("the shards were written with a different configuration")
+
+
+def sorted_jsonl(df: DataFrame, path: str, *order: str) -> str:
+    """Write a bounded set of records as one sorted JSON lines file; its SHA-256 is the pin."""
+    lines = df.orderBy(*order).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    lines.coalesce(1).write.text(path)
+    return hashes(df.sparkSession, path).first()["sha256"]
+
+
+def write(df: DataFrame, path: str, rows: int, options: dict | None = None) -> DataFrame:
+    """Write shards of at most ``rows`` records, committed as a whole; manifest (file, sha256, bytes, records, config)."""
     df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(path)
     spark = df.sparkSession
     counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("records"))
-    manifest = hashes(spark, path).join(counts, "file")
+    manifest = hashes(spark, path).join(counts, "file").withColumn("config", F.lit(config_digest(options or {})))
     manifest.write.parquet(path + "-manifest")
     return spark.read.parquet(path + "-manifest")
 

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import bpe, episodes, gates, vectors
-from corvane.sources import facts, prometheus
+from corvane.operators import bpe, dedup, episodes, gates, vectors
+from corvane.sources import facts, prometheus, shards
 
 NEW = "sensor string, fact string, value double, seq long"
 
@@ -115,3 +115,22 @@ def test_empty_input_opens_no_gate(spark):
     null = F.lit(None).cast("string")
     assert spark.range(1).select(gates.raw_probe(null, null)).first()[0] == "unverified"
     assert spark.range(1).select(gates.sensor_probe(F.lit(False), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(1.0), F.lit("ok"))["verdict"]).first()[0] == "fail"
+
+
+def test_near_prior(spark):
+    base = [f"b{i}" for i in range(60)]
+    text = lambda *k: " ".join("x" if i in k else w for i, w in enumerate(base))
+    cand = spark.createDataFrame([(1, text(3)), (2, text(*range(0, 60, 5))), (3, None), (4, "a b"), (5, text(3))], "doc_id long, text string")
+    prior = spark.createDataFrame([(10, text()), (11, None)], "doc_id long, text string")
+    assert {r[0] for r in dedup.near_prior(cand, prior, "doc_id", "text").collect()} == {1, 5}
+    assert dedup.near_prior(cand, prior.limit(0), "doc_id", "text").count() == 0
+
+
+def test_pin_and_changed_configuration(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None), (3, "c")], "k long, t string")
+    a, b = shards.sorted_jsonl(df, f"file://{tmp_path}/a", "k"), shards.sorted_jsonl(df.orderBy("t"), f"file://{tmp_path}/b", "k")
+    assert a == b and [r[0] for r in spark.read.text(f"file://{tmp_path}/a").collect()] == ['{"k":1,"t":null}', '{"k":2,"t":"b"}', '{"k":3,"t":"c"}']
+    m = shards.write(df, f"file://{tmp_path}/s", 2, {"seed": 1})
+    shards.refuse_changed(m, {"seed": 1})
+    with pytest.raises(ValueError, match="different configuration"):
+        shards.refuse_changed(m, {"seed": 2})
