@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.plans.materialize import materialize
 from corvane.plans.ranking import rank_in_group
 
 #: Folders and suffixes that no snapshot takes (fixed values).
@@ -13,6 +14,8 @@ EXCLUDED_DIRS = ("benchmarks", "evidence", "env", "__pycache__")
 EXCLUDED_SUFFIXES = (".zst", ".parquet", ".pyc", ".html", ".npz", ".safetensors", ".pt", ".bin")
 #: Critical value of a chi-squared variable with one degree of freedom at 0.05 / 3 (Bonferroni over three comparisons).
 MCNEMAR_CRITICAL = 5.7308
+#: Windows that are looked for in one pass over the texts; the driver and each executor hold two hashes of each.
+WINDOWS_A_PASS = 1 << 20
 
 
 # --- filters ------------------------------------------------------------------------------------------
@@ -136,8 +139,8 @@ def windows(df: DataFrame, key: list[str], tokens: str, n: int) -> DataFrame:
     return df.select(*key, F.explode(grams).alias("gram"))
 
 
-def stream_windows(stream: DataFrame, shard: str, pos: str, token: str, n: int, chunk: int = 4096) -> DataFrame:
-    """(gram): distinct windows of a token stream (shard, pos, token), none across shards.
+def stream_chunks(stream: DataFrame, shard: str, pos: str, token: str, n: int, chunk: int = 4096) -> DataFrame:
+    """(_w): arrays of consecutive tokens of a token stream (shard, pos, token), none across shards, that hold all its windows of ``n``.
 
     Tokens are gathered in chunks of positions; the first ``n`` - 1 of a chunk also belong to the one before.
     """
@@ -145,13 +148,54 @@ def stream_windows(stream: DataFrame, shard: str, pos: str, token: str, n: int,
     at = F.pmod(F.col(pos), F.lit(chunk))
     both = F.array_compact(F.array(own, F.when((at < n - 1) & (own > 0), own - 1)))
     c = stream.select(shard, pos, token, F.explode(both).alias("_c")).groupBy(shard, "_c").agg(F.array_sort(F.collect_list(F.struct(pos, token))).alias("_t"))
-    return windows(c.select(F.transform("_t", lambda x: x[token]).alias("_w")), [], "_w", n).distinct()
+    return c.select(F.transform("_t", lambda x: x[token]).alias("_w"))
+
+
+def stream_windows(stream: DataFrame, shard: str, pos: str, token: str, n: int, chunk: int = 4096) -> DataFrame:
+    """(gram): distinct windows of a token stream (shard, pos, token), none across shards."""
+    return windows(stream_chunks(stream, shard, pos, token, n, chunk), [], "_w", n).distinct()
+
+
+def pieces(df: DataFrame, key: list[str], tokens: str, n: int, chunk: int = 4096) -> DataFrame:
+    """(keys, _p): an array column cut into pieces that together hold each window of ``n`` tokens, so that no row has to hold them all."""
+    firsts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1), F.lit(chunk)))
+    return df.select(*key, F.explode(F.transform(firsts, lambda i: F.slice(F.col(tokens), i, F.lit(chunk + n - 1)))).alias("_p"))
+
+
+def hashed(cut: DataFrame, key: list[str], n: int) -> DataFrame:
+    """(keys, h, gram): windows of ``n`` tokens of the pieces and their hashes, repeated ones too."""
+    grams = F.transform(F.sequence(F.lit(1), F.size("_p") - (n - 1)), lambda i: F.slice(F.col("_p"), i, F.lit(n)))
+    return cut.select(*key, F.inline(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))))
+
+
+def clean_of_texts(candidates: DataFrame, key: str, tokens: str, texts: DataFrame, words: str, n: int = 12, a_pass: int = WINDOWS_A_PASS) -> DataFrame:
+    """(key): candidates that share no window of ``n`` tokens with an array of ``texts``; equality is of the tokens, not of hashes.
+
+    Of the candidates only hashes go to all executors, of about ``a_pass`` windows at most at once; more take more passes
+    over the texts. A window of a text holds exactly one run of ``n`` - ``step`` + 1 tokens that begins at every ``step``-th
+    token: only where a candidate has such a run the windows around it are looked at, and only those met leave their task.
+    """
+    step = max(1, n // 2)
+    run = n - step + 1
+    held = pieces(candidates, [], tokens, n).distinct()
+    passes = (held.agg(F.sum(F.size("_p") - (n - 1))).first()[0] or 0) // a_pass + 1
+    around = lambda i: F.slice("_p", F.greatest(i - (step - 1), F.lit(1)), F.least(i + (n - 1), F.lit(n + step - 1)))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_p") - (n - step), F.lit(step)), lambda i: F.struct(F.xxhash64(F.slice("_p", i, F.lit(run))).alias("h"), around(i).alias("_p")))
+    seen = None
+    for k in range(passes):
+        mine = held.where(F.pmod(F.xxhash64("_p"), F.lit(passes)) == k)
+        met = pieces(texts, [], words, n).select(F.inline(runs)).join(F.broadcast(hashed(mine, [], run).select("h").distinct()), "h", "left_semi")
+        met = hashed(met, [], n).join(F.broadcast(hashed(mine, [], n).select("h").distinct()), "h", "left_semi").select("gram").distinct()
+        met = materialize(met, "met") if passes > 1 else met
+        seen = met if seen is None else seen.union(met)
+    # the planner takes the windows met for far smaller than they are; the hint keeps it from sending them to the driver
+    hit = hashed(pieces(candidates, [key], tokens, n), [key], n).join(seen.hint("merge"), "gram", "left_semi")
+    return candidates.select(key).join(hit.select(key).distinct(), key, "left_anti")
 
 
 def clean_of_stream(candidates: DataFrame, key: str, tokens: str, stream: DataFrame, shard: str, pos: str, token: str, n: int = 12) -> DataFrame:
     """(key): candidates that share no window of ``n`` tokens with the stream; equality is of the tokens, not of hashes."""
-    hit = windows(candidates, [key], tokens, n).join(stream_windows(stream, shard, pos, token, n), "gram", "left_semi")
-    return candidates.select(key).join(hit.select(key).distinct(), key, "left_anti")
+    return clean_of_texts(candidates, key, tokens, stream_chunks(stream, shard, pos, token, n), "_w", n)
 
 
 def leak_report(sources: DataFrame, source: str, text: str, evals: DataFrame, key: str, n: int = 12, examples: int = 3, token_sources: tuple[str, ...] = ()) -> DataFrame:

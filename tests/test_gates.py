@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import bpe, dedup, episodes, gates, vectors
+from corvane.operators.queries import QUERIES
 from corvane.sources import facts, prometheus, shards
 
 NEW = "sensor string, fact string, value double, seq long"
@@ -65,6 +67,28 @@ def test_token_windows_do_not_cross_shards(spark):
     assert {r["id"] for r in gates.clean_of_stream(cand, "id", "ids", stream, "shard", "pos", "token", 3).collect()} == {2, 3, 4, 5}
 
 
+def test_windows_of_texts_by_brute_force(spark):
+    rng = random.Random(5)
+    for n, a_pass in ((1, 1 << 20), (2, 7), (5, 1 << 20), (12, 7)):
+        draw = lambda most, words=2 if n == 12 else 4: [rng.randrange(words) for _ in range(rng.randrange(most))]
+        texts = [(draw(40),) for _ in range(6)] + [(None,), (list(range(10, 4130)),)]
+        cand = [(i, draw(n + 4)) for i in range(40)] + [(40, None), (41, []), (42, [*range(4100, 4100 + n)]), (43, [*range(4100, 4099 + n), 5])]
+        held = {tuple(t[i : i + n]) for (t,) in texts if t for i in range(len(t) - n + 1)}
+        want = {k for k, t in cand if not any(tuple(t[i : i + n]) in held for i in range(len(t or ()) - n + 1))}
+        got = gates.clean_of_texts(spark.createDataFrame(cand, "id long, t array<long>"), "id", "t", spark.createDataFrame(texts, "w array<long>"), "w", n, a_pass)
+        assert {r["id"] for r in got.collect()} == want and 42 not in want
+
+
+def test_windows_of_documents_are_not_sent_to_the_driver(spark, tmp_path):
+    said = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(1, said), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, said[:60]), (2, "other words"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    df = QUERIES["token_window_clean"](spark, str(tmp_path))
+    assert {r["item_id"] for r in df.collect()} == {2, 3}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "HashedRelationBroadcastMode(List(input[0, array<" not in plan
+
+
 def test_leak_report(spark):
     w = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
     ev = spark.createDataFrame([(1, w("src", 60)), (2, w("uniq", 20) + " " + w("shared", 12)), (3, "Short, text")], "id long, text string")
