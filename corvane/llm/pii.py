@@ -8,8 +8,9 @@ name lower it. Spans at or above ``ACCEPT`` stand, the higher score winning wher
 are scanned in a copy of equal length in which look-alike characters and JSON escapes are plain, so
 offsets hold for the original.
 
-Ordinary words are the lower-case words of a public tokenizer's vocabulary (``VOCABULARY``, a parameter);
-without it only names with a listed given name, an initial or Russian endings are found.
+Ordinary words are the lower-case words of a public tokenizer's vocabulary (``VOCABULARY``, a parameter).
+The operators stop where that file is missing or unreadable: without it only names with a listed given name,
+an initial or Russian endings are found. Who wants just those names a path without a file; a warning says so.
 
 Defined cases: null, empty and blank texts have no spans; texts of any length are scanned whole;
 repeated rows (same ``turn_id``) count once; other columns are ignored or passed through.
@@ -20,10 +21,12 @@ from __future__ import annotations
 import base64
 import os
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,12 +375,33 @@ def _name_pairs(s: str, ordinary: frozenset[str]) -> Iterator[Span]:
 
 
 def ordinary_words(path: str = VOCABULARY) -> frozenset[str]:
-    """Lower-case words that a ``.tiktoken`` vocabulary holds whole; empty if there is no such file."""
+    """Lower-case words that a ``.tiktoken`` vocabulary holds whole; empty if there is no such file, an error if it holds none or something else."""
     if not os.path.exists(path):
         return frozenset()
+    words = set()
     with open(path, "rb") as f:
-        held = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in f)
-        return frozenset(w[1:] for w in held if w[:1] == " " and len(w) > LEAST_WORD and w[1:].isalpha() and w.islower())
+        for n, line in enumerate(f, 1):
+            try:
+                token, rank = line.split()
+                w = base64.b64decode(token, validate=True).decode("utf-8", "ignore")
+                int(rank)
+            except ValueError as e:
+                raise ValueError(f"{path}, line {n}: not a token in base64 and its rank") from e
+            if w[:1] == " " and len(w) > LEAST_WORD and w[1:].isalpha() and w.islower():
+                words.add(w[1:])
+    if not words:
+        raise ValueError(f"{path} holds no lower-case words")
+    return frozenset(words)
+
+
+def _shipped_words(turns: DataFrame, vocabulary: str | None) -> Broadcast:
+    """Ordinary words for the workers; ``VOCABULARY`` has to be there, a path of the caller's own need not."""
+    path = VOCABULARY if vocabulary is None else vocabulary
+    if not os.path.exists(path):
+        if vocabulary is None:
+            raise FileNotFoundError(f"no vocabulary {path}: names outside the lists would be left out")
+        warnings.warn(f"no vocabulary {path}: names outside the lists are left out", stacklevel=3)
+    return turns.sparkSession.sparkContext.broadcast(ordinary_words(path))
 
 
 def _names(s: str, low_words: list[str]) -> Iterator[Span]:
@@ -510,9 +534,9 @@ def redact(text: str | None, ordinary: frozenset[str] = frozenset()) -> str | No
     return "".join([*out, text[at:]])
 
 
-def found_types(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def found_types(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(turn_id, pii_type): one row for each turn and type that occurs in its content."""
-    shipped = turns.sparkSession.sparkContext.broadcast(ordinary_words(vocabulary))
+    shipped = _shipped_words(turns, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -526,9 +550,9 @@ def found_types(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return turns.select("turn_id", "content").where("content IS NOT NULL").mapInPandas(run, "turn_id long, pii_type string").distinct()
 
 
-def redacted(turns: DataFrame, content: str = "content", vocabulary: str = VOCABULARY) -> DataFrame:
+def redacted(turns: DataFrame, content: str = "content", vocabulary: str | None = None) -> DataFrame:
     """``turns`` with personal data in ``content`` replaced by placeholders; all other columns as they are."""
-    shipped = turns.sparkSession.sparkContext.broadcast(ordinary_words(vocabulary))
+    shipped = _shipped_words(turns, vocabulary)
 
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:

@@ -1,6 +1,7 @@
 import pytest
 
 from corvane.llm import pii
+from corvane.llm.queries import QUERIES
 
 
 def kinds(t):
@@ -111,3 +112,17 @@ def test_no_vocabulary_file(spark, tmp_path):
     assert pii.ordinary_words(str(tmp_path / "none")) == frozenset()
     df = spark.createDataFrame([(1, "Ask Otto Brenner")], "turn_id long, content string")
     assert [tuple(r) for r in pii.found_types(df, str(tmp_path / "none")).collect()] == [(1, "name")]
+
+
+def test_missing_or_broken_vocabulary_is_an_error(spark, tmp_path, monkeypatch):
+    none, broken, empty = (str(tmp_path / x) for x in ("none", "broken", "empty"))
+    (tmp_path / "broken").write_bytes(b"IGFzaw== 0\nversion https://example.test/spec\n")
+    (tmp_path / "empty").write_bytes(b"")
+    spark.createDataFrame([(1, "user", "text", "Ask Priya Ramaswamy")], "turn_id long, role string, kind string, content string").write.parquet(f"{tmp_path}/turns.parquet")
+    for path, error in ((none, FileNotFoundError), (broken, ValueError), (empty, ValueError)):
+        monkeypatch.setattr(pii, "VOCABULARY", path)
+        for name in ("p1_found", "p1_redacted"):
+            with pytest.raises(error, match=path):
+                QUERIES[name](spark, str(tmp_path))
+    with pytest.warns(UserWarning, match=none):
+        pii.found_types(spark.read.parquet(f"{tmp_path}/turns.parquet"), none)
